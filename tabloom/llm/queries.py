@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_packing, bm25_packing, exact_dedup, quality, simhash
+from . import bit_packing, bm25_packing, exact_dedup, html_extract, mixing, quality, sharding, simhash, toxicity, warc
 from .common import table
 from .tokens import tokenizer_path
 
@@ -27,6 +27,27 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op7_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_audit(table(spark, sf_dir, "pages"), warc.flip_some)
+
+
+def op9_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = [f"shard-{k:04d}" for k in range(256)]
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", shards)
+
+
 def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -36,6 +57,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_bit_packing": op2_token_bit_packing,
     "op3_bm25_packing": op3_bm25_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_html_main_text": op5_html_main_text,
+    "op6_pivotal_mixing": op6_pivotal_mixing,
+    "op7_toxicity_trees": op7_toxicity_trees,
+    "op8_warc_fixity": op8_warc_fixity,
+    "op9_shard_placement": op9_shard_placement,
     "op10_quality_ledger": op10_quality_ledger,
 }
 
@@ -45,4 +71,12 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
         FROM d""",
+    "op8_warc_fixity": r"""
+        WITH r AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+            || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+            || 'WARC-Record-ID: <urn:page:' || CAST(page_id AS VARCHAR) || '>' || chr(13) || chr(10)
+            || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+            || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
+            || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS t FROM pages)
+        SELECT page_id, CAST(strlen(t) AS BIGINT) AS record_bytes, sha256(t) AS record_sha256, page_id % 97 <> 13 AS intact FROM r""",
 }
