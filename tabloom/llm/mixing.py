@@ -107,13 +107,22 @@ def _round_block(key, pdf: pd.DataFrame, seed: int, level: int) -> pd.DataFrame:
 
 
 def _round_rest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One open document a size class: from large to small, each to the side that brings the total nearer."""
+    """One open document a size class: of all ways to round them, the one that ends nearest the target.
+
+    There are at most as many classes as bits in a size; beyond 16 the largest
+    documents are rounded to the nearer side first.
+    """
     pdf = pdf.sort_values(["size", "doc_id", "row_id"], ascending=[False, True, True], kind="stable")
     due, take = 0.0, []
-    for p, w in zip(pdf["p"], pdf["size"]):
-        one = due + p * w - w >= -w / 2
-        due += p * w - (w if one else 0)
+    p, w = pdf["p"].to_numpy(), pdf["size"].to_numpy(dtype=float)
+    for k in range(max(0, len(p) - 16)):
+        one = due + p[k] * w[k] - w[k] >= -w[k] / 2
+        due += p[k] * w[k] - (w[k] if one else 0)
         take.append(int(one))
+    p, w = p[len(take) :], w[len(take) :]
+    due += float((p * w).sum())
+    ways = (np.arange(1 << len(p))[:, None] >> np.arange(len(p))) & 1
+    take += ways[np.abs(ways @ w - due).argmin()].tolist()
     return pdf.assign(copies=pdf["copies"].to_numpy() + np.array(take, np.int64), open=False)
 
 
