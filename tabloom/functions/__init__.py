@@ -1 +1 @@
-"""See the package docstring."""
+"""Column expressions (A1 references, values, symbols) and the formula language."""

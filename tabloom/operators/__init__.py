@@ -1 +1 @@
-"""See the package docstring."""
+"""DataFrame to DataFrame operators over the workbook model."""
