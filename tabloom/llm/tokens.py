@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; beyond it the memory is emptied, never the result.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
 #: A letter run and what follows of these are separate tokens in every vocabulary used here.
 TAIL = ".,!%#*$&|;:?"
 #: White space next to white space, or other than space and line end: such texts are not cut.
@@ -44,39 +44,45 @@ class Encoder:
         probe = [self.tok.encode(x, add_special_tokens=False).ids for x in ("a b", "a", "b", " b", "a\nb", "\n")]
         self.loose = probe[0] == probe[1] + probe[2] == probe[4] and probe[5] == []
         self.tight = probe[0] == probe[1] + probe[3] and probe[4] == probe[1] + probe[5] + probe[2]
+        # ASCII capitals may be lowered beforehand if the vocabulary lowers them anyway.
+        self.lowers = self.loose and all(self.tok.encode(x, add_special_tokens=False).ids == self.tok.encode(x.lower(), add_special_tokens=False).ids for x in ("ABC xyZ", "I\u0307 E\u0301", "IT'S 3D."))
         self.caches: dict[str, dict[str, bytes]] = {}
 
-    def _learn(self, pieces: list[str], lead: str) -> dict[str, bytes]:
+    def _known(self, pieces: list[str], lead: str) -> dict[str, bytes]:
         """The cache of pieces written after ``lead``, with all of ``pieces`` in it."""
         cache = self.caches.setdefault(lead, {})
         new = [p for p in pieces if p not in cache]
         if len(cache) + len(new) > CACHE_PIECES:
             cache.clear()
             new = pieces
-        plain, tailed = [], []
-        for p in new:
-            base = p.rstrip(TAIL)
-            if base != p and base.isalpha():
-                tailed.append((p, base, p[len(base) :]))
-            else:
-                plain.append(p)
-        if tailed:
-            plain += {base for _, base, _ in tailed} - cache.keys() - set(plain)
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
             for p, e in zip(part, self.tok.encode_batch_fast([lead + x for x in part], add_special_tokens=False)):
                 cache[p] = np.array(e.ids, self.dtype).tobytes()
-        if tailed:
-            ends = {t: np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t in {t for _, _, t in tailed}}
-            for p, base, t in tailed:
-                cache[p] = cache[base] + ends[t]
         return cache
 
-    def _tables(self, words: list[str], used: np.ndarray, lead: str) -> tuple[bytes, np.ndarray]:
-        """Ids of the used words one after another, and how many each word has (0 if unused)."""
+    def _tables(self, words: pa.Array, used: np.ndarray, lead: str) -> tuple[bytes, np.ndarray]:
+        """Ids of the used words one after another, and how many each word has (0 if unused).
+
+        Signs behind a run of letters are tokens of their own, so words that
+        differ in them only are one piece, encoded and remembered once.
+        """
         lens = np.zeros(len(words), np.int64)
-        cache = self._learn([words[i] for i in used], lead)
-        parts = [cache[words[i]] for i in used]
+        some = words.take(pa.array(used))
+        base = pc.utf8_rtrim(some, TAIL)
+        cut = pc.and_(pc.utf8_is_alpha(base), pc.not_equal(base, some))
+        pieces = pc.if_else(cut, base, some).dictionary_encode()
+        known = pieces.dictionary.to_pylist()
+        cache = self._known(known, lead)
+        ids = [cache[p] for p in known]
+        parts = [ids[k] for k in pieces.indices.to_pylist()]
+        at = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        if len(at):
+            rows = pa.array(at)
+            tails = [w[len(b) :] for w, b in zip(some.take(rows).to_pylist(), base.take(rows).to_pylist())]
+            ends = {t: np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t in set(tails)}
+            for i, t in zip(at.tolist(), tails):
+                parts[i] += ends[t]
         lens[used] = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
         return b"".join(parts), lens
 
@@ -94,14 +100,15 @@ class Encoder:
             whole = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
         cut = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
         cut = pc.replace_substring(cut, "\n", " " if self.loose else " \n ")
+        cut = pc.ascii_lower(cut) if self.lowers else cut
         lists = pc.split_pattern(cut, " ")
         coded = lists.values.dictionary_encode()
-        words, codes, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+        words, codes, ends = coded.dictionary, coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
         if self.loose:
             flat, lens = self._tables(words, np.arange(len(words)), "")
         else:
             # The first word of a text or line has nothing before it, any other word a space.
-            line = words.index("\n") if "\n" in words else -1
+            line = pc.index(words, pa.scalar("\n", words.type)).as_py()
             first = codes == line
             first[1:] |= codes[:-1] == line
             first[ends[:-1]] = True
