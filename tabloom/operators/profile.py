@@ -50,8 +50,8 @@ def column_profiles(cells: DataFrame, keys: list[str], cap: int = DISTINCT_CAP,
     """
     full = cells.where("value_type IS NOT NULL AND value_type <> 'blank'")
     value = F.coalesce("v_str", F.col("v_num").cast("string"), F.col("v_bool").cast("string"))
-    counts = full.groupBy(*keys, F.col("value_type"), value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.groupBy(*keys).agg(F.sum("n").alias("nonnull"), F.least(F.lit(cap), F.count(F.lit(1))).cast("long").alias("distinct_est"))
+    counts = full.groupBy(*keys, F.col("value_type"), value.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.groupBy(*keys).agg(F.sum("__n").alias("nonnull"), F.least(F.lit(cap), F.count(F.lit(1))).cast("long").alias("distinct_est"))
     first = full.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("row"))).where(F.col("__r") <= sample)
     kinds = first.groupBy(*keys).agg(lattice(F.collect_set(atom(F.col("value_type"), F.col("v_num")))).alias("dtype"))
     return counts.join(kinds, keys)
@@ -87,9 +87,9 @@ def header_scores(cells: DataFrame, bounds: DataFrame, styles: DataFrame | None
     all_text = (F.col("filled") > 0) & (F.col("filled") == F.col("texts"))
     got = per.groupBy("region", "width", "k").agg(
         F.count_if(all_text).alias("text"),
-        F.count_if("filled > 0").alias("full"),
+        F.count_if(F.expr("filled > 0")).alias("full"),
         F.countDistinct(F.when(F.col("filled") > 0, F.lower("header"))).alias("unique"),
-        F.count_if("below > 0").alias("bodies"),
+        F.count_if(F.expr("below > 0")).alias("bodies"),
         F.count_if(all_text & (F.col("typed") > 0)).alias("contrast"),
         F.count_if(F.coalesce("high", F.lit(False)) & ~F.coalesce("low", F.lit(False))).alias("shift"),
     )

@@ -25,7 +25,7 @@ def region_ranks(regions: DataFrame) -> DataFrame:
 
 def counts(sheets: DataFrame, diagnostics: DataFrame) -> dict:
     """Sheets, visibility and findings by severity."""
-    s = sheets.agg(F.count(F.lit(1)).alias("sheets"), F.count_if("visibility = 'visible'").alias("visible")).first()
+    s = sheets.agg(F.count(F.lit(1)).alias("sheets"), F.count_if(F.expr("visibility = 'visible'")).alias("visible")).first()
     d = {r["severity"]: r["n"] for r in diagnostics.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {"sheets": s["sheets"], "visible": s["visible"], "diagCounts": {k: d.get(k, 0) for k in ("error", "warn", "info")}}
 

@@ -1 +1 @@
-"""See the package docstring."""
+"""Workbook readers and writers."""
