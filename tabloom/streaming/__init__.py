@@ -1 +1 @@
-"""See the package docstring."""
+"""Incremental refresh on Structured Streaming."""
