@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_path, scratch_path, ship_package, written
-from .tokens import encoder, groups
+from .tokens import encoder, groups, trim
 
 MAGIC = b"TBPK1\0\0\0"
 #: Ids of one block: a multiple of 64, so blocks of any width fill whole words.
@@ -164,6 +164,7 @@ def _write(batches, folder: str, path: str, end_id: int):
             ids, at = enc.encode(batch["text"].slice(a, b - a))
             for i in range(b - a):
                 writer.add(NULL_ID if docs[a + i] is None else docs[a + i], np.concatenate([ids[at[i] : at[i + 1]], end]))
+        trim()
     if writer is not None:
         writer.close()
         yield pa.RecordBatch.from_pydict({"file": [name], "shard": pa.array([NULL_ID if first is None else first], pa.int64()), "n_docs": [len(writer.docs)], "n_tokens": [writer.n]})

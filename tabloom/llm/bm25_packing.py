@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship_package, written
-from .tokens import encoder, groups
+from .tokens import encoder, groups, trim
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
@@ -52,6 +52,8 @@ def _encode(batches, path: str, end_id: int):
                 blobs.append(np.concatenate([own, end]).tobytes())
                 sizes.append(len(own) + 1)
             yield pa.RecordBatch.from_pydict({"doc_id": docs.slice(a, b - a), "key": pa.array(keys, pa.int64()), "n": pa.array(sizes, pa.int64()), "ids": pa.array(blobs, pa.binary())})
+            del ids, blobs
+        trim()
 
 
 def _frequencies(batches, dtype: str, vocab: int):

@@ -63,7 +63,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever they run."""
+    """Make this package importable in Python workers, and let Arrow batches suit long texts."""
+    for key, usual, ours in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "16777216b")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) == usual:  # a choice of the user's stays
+            spark.conf.set(key, ours)
     if getattr(spark, "_tabloom_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent

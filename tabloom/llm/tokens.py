@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; beyond it the memory is emptied, never the result.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 #: A letter run and what follows of these are separate tokens in every vocabulary used here.
 TAIL = ".,!%#*$&|;:?"
 #: White space next to white space, or other than space and line end: such texts are not cut.
@@ -67,7 +67,7 @@ class Encoder:
         Signs behind a run of letters are tokens of their own, so words that
         differ in them only are one piece, encoded and remembered once.
         """
-        lens = np.zeros(len(words), np.int64)
+        lens = np.zeros(len(words), np.int32)
         some = words.take(pa.array(used))
         base = pc.utf8_rtrim(some, TAIL)
         cut = pc.and_(pc.utf8_is_alpha(base), pc.not_equal(base, some))
@@ -83,7 +83,7 @@ class Encoder:
             ends = {t: np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t in set(tails)}
             for i, t in zip(at.tolist(), tails):
                 parts[i] += ends[t]
-        lens[used] = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+        lens[used] = np.fromiter(map(len, parts), np.int32, len(parts)) // self.dtype.itemsize
         return b"".join(parts), lens
 
     def _whole(self, text: str) -> np.ndarray:
@@ -103,7 +103,7 @@ class Encoder:
         cut = pc.ascii_lower(cut) if self.lowers else cut
         lists = pc.split_pattern(cut, " ")
         coded = lists.values.dictionary_encode()
-        words, codes, ends = coded.dictionary, coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+        words, codes, ends = coded.dictionary, coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
         if self.loose:
             flat, lens = self._tables(words, np.arange(len(words)), "")
         else:
@@ -117,10 +117,14 @@ class Encoder:
             flat, lens = a + b, np.concatenate([la, lb])
             codes = np.where(first, codes, codes + len(words))
         ids = np.frombuffer(flat, self.dtype)
-        at = np.concatenate([[0], np.cumsum(lens)])
+        at = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
         n = lens[codes]
-        stop = np.concatenate([[0], np.cumsum(n)])
-        out = ids[np.repeat(at[codes] - stop[:-1], n) + np.arange(stop[-1])]
+        stop = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).astype(np.int64)
+        # Within a group, which is bounded, places fit in 32 bits; a longer single text takes 64.
+        wide = np.int32 if max(stop[-1], at[-1]) < 1 << 31 else np.int64
+        where = np.repeat((at[codes] - stop[:-1]).astype(wide), n)
+        where += np.arange(stop[-1], dtype=wide)
+        out = ids[where]
         offsets = stop[ends]
         if not whole.any():
             return out, offsets
@@ -133,6 +137,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers stay, and other operators need it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries have no such call
+        pass
+
+
 def groups(texts: pa.Array, chars: int = 6_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about that many bytes of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
