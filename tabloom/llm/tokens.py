@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; beyond it the memory is emptied, never the result.
-CACHE_PIECES = 500_000
+#: Pieces of one generation; a worker remembers two, and forgets the older when the younger is full.
+CACHE_PIECES = 350_000
 #: A letter run and what follows of these are separate tokens in every vocabulary used here.
 TAIL = ".,!%#*$&|;:?"
 #: White space next to white space, or other than space and line end: such texts are not cut.
@@ -46,20 +46,27 @@ class Encoder:
         self.tight = probe[0] == probe[1] + probe[3] and probe[4] == probe[1] + probe[5] + probe[2]
         # ASCII capitals may be lowered beforehand if the vocabulary lowers them anyway.
         self.lowers = self.loose and all(self.tok.encode(x, add_special_tokens=False).ids == self.tok.encode(x.lower(), add_special_tokens=False).ids for x in ("ABC xyZ", "I\u0307 E\u0301", "IT'S 3D."))
-        self.caches: dict[str, dict[str, bytes]] = {}
+        self.caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
     def _known(self, pieces: list[str], lead: str) -> dict[str, bytes]:
         """The cache of pieces written after ``lead``, with all of ``pieces`` in it."""
-        cache = self.caches.setdefault(lead, {})
-        new = [p for p in pieces if p not in cache]
-        if len(cache) + len(new) > CACHE_PIECES:
-            cache.clear()
-            new = pieces
+        young, old = self.caches.get(lead, ({}, {}))
+        if len(young) > CACHE_PIECES:
+            young, old = {}, young
+        self.caches[lead] = young, old
+        missing = [p for p in pieces if p not in young]
+        new = []
+        for p in missing:
+            v = old.get(p)
+            if v is None:
+                new.append(p)
+            else:
+                young[p] = v
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for p, e in zip(part, self.tok.encode_batch_fast([lead + x for x in part], add_special_tokens=False)):
-                cache[p] = np.array(e.ids, self.dtype).tobytes()
-        return cache
+                young[p] = np.array(e.ids, self.dtype).tobytes()
+        return young
 
     def _tables(self, words: pa.Array, used: np.ndarray, lead: str) -> tuple[bytes, np.ndarray]:
         """Ids of the used words one after another, and how many each word has (0 if unused).
