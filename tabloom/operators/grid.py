@@ -50,7 +50,7 @@ def to_cells(df: DataFrame, keys: list[str], sheet_id: int, columns: list[str] |
     def cell(i: int, c: str) -> Column:
         kind = _kind(types[c])
         v = F.col(c)
-        text = F.date_format(v, "yyyy-MM-dd'T'HH:mm:ss") if types[c].startswith("timestamp") else v.cast("string")
+        text = F.date_format(v, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if types[c].startswith("timestamp") else v.cast("string")
         return F.struct(
             F.lit(i).alias("col"),
             F.lit(kind).alias("value_type"),

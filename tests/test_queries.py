@@ -1,6 +1,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -30,7 +31,7 @@ def test_query_equals_sql(spark, sf, db, name):
     cols = sorted(got.columns)
     want = db.execute(plans.ORACLES[name]).df()
     assert sorted(want.columns) == cols
-    want = [tuple(None if x is None or x != x else (x.item() if hasattr(x, "item") else x) for x in r) for r in want[cols].astype(object).itertuples(index=False, name=None)]
+    want = [tuple(None if pd.isna(x) else (x.item() if hasattr(x, "item") else x) for x in r) for r in want[cols].astype(object).itertuples(index=False, name=None)]
     have = [tuple(r) for r in got.select(*(f"`{c}`" for c in cols)).collect()]
     number = lambda rows: _plain([tuple(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) if v is not None else None for v in r) for r in rows])
     assert number(have) == number(want)
