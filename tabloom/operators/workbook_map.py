@@ -68,3 +68,28 @@ def bounded(payload: dict, limit: int = LIMIT) -> dict:
             if size(got) <= limit:
                 return got
     raise ValueError("E_INTERNAL: the response does not fit")
+
+
+def sheet_ranks(sheets: DataFrame) -> DataFrame:
+    """Sheets that need a word first (hidden ones), then by id, within each workbook."""
+    w = Window.partitionBy("workbook").orderBy(F.col("visibility") == "visible", "sheet_id")
+    return sheets.withColumn("detail_rank", F.row_number().over(w))
+
+
+def column_ranks(columns: DataFrame, base: int = 16, extra: int = 512) -> DataFrame:
+    """Columns a map may show: the first ``base`` of each region, and ``extra`` more of the workbook.
+
+    columns: workbook, region, idx.  All windows are within a workbook.
+    """
+    own = Window.partitionBy("workbook", "region").orderBy("idx")
+    got = columns.withColumn("column_rank", F.row_number().over(own))
+    more = F.col("column_rank") > base
+    rest = Window.partitionBy("workbook", more).orderBy("region", "idx")
+    got = got.withColumn("extra_rank", F.when(more, F.row_number().over(rest)))
+    return got.where(~more | (F.col("extra_rank") <= extra))
+
+
+def link_ranks(links: DataFrame) -> DataFrame:
+    """Rank and total of a workbook's links together."""
+    w = Window.partitionBy("workbook")
+    return links.withColumns({"link_rank": F.row_number().over(w.orderBy("target")), "total": F.count(F.lit(1)).over(w)})

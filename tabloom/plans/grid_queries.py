@@ -223,9 +223,51 @@ def map_region_rank(t):
     return region_ranks(r).select("sheet_id", "n", "area", F.col("render_rank").cast("long").alias("render_rank"), F.col("source_rank").cast("long").alias("source_rank"))
 
 
-@query()
+@query("""SELECT 0 AS region, 1 AS header_rows, round(0.30 + 0.25 * 2 / 3 + 0.20 + 0.05, 6) AS confidence FROM (SELECT count(*) AS n FROM nation) WHERE n > 1""")
 def header_scores(t):
     """AGG14, REG10, REG11 on a table seen as a sheet."""
     c = grid.to_cells(t.nation, ["n_nationkey"], 1).withColumn("region", F.lit(0))
     b = t.spark.createDataFrame([(0, 1, 26, 1, 3)], "region int, row_min int, row_max int, col_min int, col_max int")
     return profile.infer_header_rows(profile.header_scores(c, b))
+
+
+@query("""SELECT s_nationkey AS workbook, s_suppkey AS sheet_id, CASE WHEN s_suppkey % 3 = 0 THEN 'hidden' ELSE 'visible' END AS visibility,
+    row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 3 <> 0, s_suppkey) AS detail_rank FROM supplier""")
+def sheet_detail_rank(t):
+    """WIN3, AGG9."""
+    from ..operators.workbook_map import sheet_ranks
+
+    k = F.col("s_suppkey")
+    s = t.supplier.select(F.col("s_nationkey").alias("workbook"), k.alias("sheet_id"), F.when(F.pmod(k, F.lit(3)) == 0, "hidden").otherwise("visible").alias("visibility"))
+    return sheet_ranks(s).withColumn("detail_rank", F.col("detail_rank").cast("long"))
+
+
+@query("""WITH b AS (SELECT p_size % 3 AS workbook, p_brand AS region, p_partkey AS idx FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY workbook, region ORDER BY idx) AS column_rank FROM b),
+    x AS (SELECT *, CASE WHEN column_rank > 16 THEN row_number() OVER (PARTITION BY workbook, column_rank > 16 ORDER BY region, idx) END AS extra_rank FROM r)
+    SELECT * FROM x WHERE column_rank <= 16 OR extra_rank <= 100""")
+def column_extra_rank(t):
+    """WIN6."""
+    from ..operators.workbook_map import column_ranks
+
+    c = t.part.select(F.pmod("p_size", F.lit(3)).alias("workbook"), F.col("p_brand").alias("region"), F.col("p_partkey").alias("idx"))
+    got = column_ranks(c, 16, 100)
+    return got.withColumns({"column_rank": F.col("column_rank").cast("long"), "extra_rank": F.col("extra_rank").cast("long")})
+
+
+@query("""SELECT s_nationkey AS workbook, s_name AS target, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS link_rank, count(*) OVER (PARTITION BY s_nationkey) AS total FROM supplier""")
+def link_rank_total(t):
+    """WIN7."""
+    from ..operators.workbook_map import link_ranks
+
+    got = link_ranks(t.supplier.select(F.col("s_nationkey").alias("workbook"), F.col("s_name").alias("target")))
+    return got.withColumn("link_rank", F.col("link_rank").cast("long"))
+
+
+@query("""SELECT c.c_custkey AS src_n, r.r_name AS dst_sheet, n.n_name AS src_sheet FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_nationkey < 20
+    LEFT JOIN region r ON r.r_regionkey = c.c_custkey % 7""")
+def decorated_edges(t):
+    """JON10, JON21, JON22, SUP18: edges with sheet names, kept where a sheet is missing."""
+    e = t.customer.select(F.col("c_nationkey").alias("src_sheet_id"), F.col("c_custkey").cast("int").alias("src_n"), (F.pmod("c_custkey", F.lit(7)) + 100).cast("int").alias("dst_sheet_id"))
+    sheets = t.nation.where("n_nationkey < 20").select(F.col("n_nationkey").alias("sheet_id"), F.col("n_name").alias("name")).unionByName(t.region.select((F.col("r_regionkey") + 100).alias("sheet_id"), F.col("r_name").alias("name")))
+    b = t.nation.select(F.col("n_nationkey").alias("sheet_id"), F.lit(-1).alias("n"), F.lit("").alias("r1c1"), *(F.lit(1).alias(c) for c in ("row_min", "row_max", "col_min", "col_max")))
+    return edges.decorate(e, sheets, b).select(F.col("src_n").cast("long").alias("src_n"), "dst_sheet", "src_sheet")

@@ -169,3 +169,34 @@ def test_lattice(spark):
     sets = [([], "empty"), (["int"], "int"), (["int", "float"], "float"), (["date"], "date"), (["int", "str"], "mixed"), (["bool"], "bool"), (["error"], "mixed")]
     df = spark.createDataFrame(sets, "a array<string>, want string").withColumn("got", profile.lattice(F.col("a")))
     assert all(r["got"] == r["want"] for r in df.collect())
+
+
+def test_canonical_export_ignores_order_and_surrogates(spark, tmp_path):
+    from tabloom.operators import export
+
+    sheets = spark.createDataFrame([(1, "A"), (2, "B")], "sheet_id int, name string")
+    x = spark.createDataFrame([(1, 5, "u"), (2, 6, None), (1, 5, "u")], "sheet_id int, row int, v string")
+    y = x.orderBy(F.desc("row")).repartition(3).withColumn("generation", F.lit(9))
+    one, two = (export.canonical(d, sheets) for d in (x, y))
+    assert one.columns == ["row", "sheet", "v"] and one.collect() == two.collect()
+    assert export.fingerprint(one).collect() == export.fingerprint(two).collect()
+    assert export.fingerprint(one).collect() != export.fingerprint(one.limit(2)).collect()
+    cells = x.withColumn("workbook", F.lit("w"))
+    export.write_index(cells, str(tmp_path / "i"))
+    export.write_index(cells.where("sheet_id = 2").withColumn("row", F.lit(7)), str(tmp_path / "i"))
+    assert rows(spark.read.parquet(str(tmp_path / "i")), "sheet_id", "row") == [(1, 5), (1, 5), (2, 7)]
+    export.dump_csv(x, str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
+
+
+def test_incremental_scope(spark):
+    from tabloom.operators import lifecycle
+
+    schema = "part_name string, part_hash string"
+    old = spark.createDataFrame([("xl/workbook.xml", "1"), ("xl/worksheets/sheet1.xml", "a"), ("xl/worksheets/sheet2.xml", "b")], schema)
+    sheets = spark.createDataFrame([(1, "xl/worksheets/sheet1.xml"), (2, "xl/worksheets/sheet2.xml")], "sheet_id int, xml_part string")
+    new = spark.createDataFrame([("xl/workbook.xml", "1"), ("xl/worksheets/sheet1.xml", "a"), ("xl/worksheets/sheet2.xml", "c")], schema)
+    assert [r["sheet_id"] for r in lifecycle.sheets_to_refresh(lifecycle.changed_parts(old, new), sheets).collect()] == [2]
+    assert lifecycle.changed_parts(old, old).count() == 0
+    broad = spark.createDataFrame([("xl/workbook.xml", "2"), ("xl/worksheets/sheet1.xml", "a"), ("xl/worksheets/sheet2.xml", "b")], schema)
+    assert lifecycle.sheets_to_refresh(lifecycle.changed_parts(old, broad), sheets).count() == 2
