@@ -79,4 +79,19 @@ ORACLES: dict[str, str] = {
             || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
             || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS t FROM pages)
         SELECT page_id, CAST(strlen(t) AS BIGINT) AS record_bytes, sha256(t) AS record_sha256, page_id % 97 <> 13 AS intact FROM r""",
+    "op10_quality_ledger": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
+        k AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM p),
+        again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM k) WHERE n > 1),
+        c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM again, (VALUES (0), (1), (2)) v(o) GROUP BY 1),
+        l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+        b AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+        m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+            CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(b.dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(b.n_lines, 0) AS n_lines,
+            length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS up, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id),
+        f AS (SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END) + (CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END)
+            + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END) + (CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) THEN 16 ELSE 0 END)
+            + (CASE WHEN 10 * up > 5 * letters THEN 32 ELSE 0 END) + (CASE WHEN 10 * letters < 5 * word_chars THEN 64 ELSE 0 END) AS BIGINT) AS failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed = 0 AS kept, failed FROM f""",
 }
