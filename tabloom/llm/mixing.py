@@ -178,5 +178,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     # Rows of one doc_id share its copies evenly; ids are unique in any ordinary table, so this is copies itself.
     times = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.floor(F.col("__sum") / F.col("__rows"))).cast("int")
     plan = written(plan.select("__doc", times.alias("__times")), "copies")
-    out = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "inner").where("__times > 0")
+    # Merge join at every size: a broadcast would only ever fit small inputs, and identifiers are not skewed.
+    out = docs.join(plan.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "inner").where("__times > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
