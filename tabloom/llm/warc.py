@@ -8,6 +8,9 @@ Tree: the records of a file, in the order of their offsets, are leaves; every
 ``fan`` neighbours give a node whose digest covers the children's digests and
 the offset range they span, up to one root a file.
 
+Scan: each record is read at its offset and length in the manifest, so damage
+to one never hides those behind it.
+
 Audit: roots of two replicas are compared; below, only children of nodes that
 differ are compared, level by level, so intact branches are never descended.
 What is left are the corrupt, missing or foreign records.
@@ -21,6 +24,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import io
 import uuid
 import zlib
 from functools import partial
@@ -73,7 +77,7 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
 
 
-def _write(batches, folder: str):
+def _write(batches, folder: str, damage=None):
     """One file a task, under a name of its own, so a repeated task cannot spoil another's file."""
     out, at, seq, name = None, 0, 0, ""
     for batch in batches:
@@ -86,7 +90,7 @@ def _write(batches, folder: str):
                 out = store.open_output_stream(f"{root}/{name}", compression=None)
             data = record(page_id, url.as_py(), page.as_py())
             packed = _gz(data)
-            out.write(packed)
+            out.write(packed if damage is None else damage(page_id, packed))
             rows.append((page_id, name, seq, at, len(packed), len(data), hashlib.sha256(data).hexdigest()))
             at += len(packed)
             seq += 1
@@ -102,58 +106,84 @@ def _rows(rows, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if t == "string" else pa.int64()) for c, (_, t) in zip(cols, names)], names=[n for n, _ in names])
 
 
-def _read(batches, folder: str, damage):
-    """Hash the records of whole files; a record that doesn't unpack ends its file, as its end is unknown."""
+def _unpacked(packed: bytes) -> bytes | None:
+    """The record of one member; None unless it is one whole member with a right checksum."""
+    d = zlib.decompressobj(31)
+    try:
+        data = d.decompress(packed)
+    except zlib.error:
+        return None
+    return data if d.eof and not d.unused_data else None
+
+
+def _foreign(f, name: str, at: int, seq: int):
+    """What a file holds behind its last record of the manifest; a member that doesn't unpack ends it, as its end is unknown."""
+    f.seek(at)
+    held = f.read(1 << 20)
+    while held:
+        d, parts, took = zlib.decompressobj(31), [], 0
+        while held and not d.eof:
+            n = len(held)
+            try:
+                parts.append(d.decompress(held))
+            except zlib.error:
+                break
+            held = d.unused_data if d.eof else f.read(1 << 20)
+            took += n - len(held) if d.eof else n
+        data = b"".join(parts)
+        yield (name, seq, at, took, len(data), hashlib.sha256(data).hexdigest()) if d.eof else (name, seq, at, took, None, None)
+        if not d.eof:
+            break
+        at, seq = at + took, seq + 1
+        held = held or f.read(1 << 20)
+
+
+def _read(batches, folder: str):
+    """Hash each record at its place in the manifest, so that a damaged one hides no other."""
     store, root = _store(folder)
+    f, opened = None, None
     for batch in batches:
-        for name in batch["file"].to_pylist():
-            with store.open_input_stream(f"{root}/{name}", compression=None) as f:
-                rows, at, seq, held = [], 0, 0, b""
-                while True:
-                    d, parts, took = zlib.decompressobj(31), [], 0
-                    while not d.eof:
-                        if not held:
-                            held = f.read(1 << 20)
-                            if not held:
-                                break
-                        n = len(held)
-                        try:
-                            parts.append(d.decompress(held))
-                        except zlib.error:
-                            break
-                        held = d.unused_data if d.eof else b""
-                        took += n - len(held)
-                    if not d.eof:
-                        if took or parts or held:
-                            rows.append((name, seq, at, took, None, None))
-                        break
-                    data = b"".join(parts)
-                    if damage is not None:
-                        data = damage(data)
-                    rows.append((name, seq, at, took, len(data), hashlib.sha256(data).hexdigest()))
-                    at, seq = at + took, seq + 1
-                    if len(rows) >= 5000:
-                        yield _rows(rows, FOUND)
-                        rows = []
-                if rows:
-                    yield _rows(rows, FOUND)
-
-
-def write_warc(pages: DataFrame, folder: str, partitions: int | None = None) -> DataFrame:
-    """Write the files; gives the manifest, one row a record."""
+        rows = []
+        for name, seq, offset, length, last in zip(*(batch[c].to_pylist() for c in ("file", "seq", "offset", "length", "last"))):
+            if name != opened:
+                if f is not None:
+                    f.close()
+                f, opened = io.BufferedReader(store.open_input_file(f"{root}/{name}"), 1 << 20), name
+            f.seek(offset)
+            packed = f.read(length)
+            if packed:  # nothing at all: the file is cut off and the record is missing
+                data = _unpacked(packed)
+                rows.append((name, seq, offset, len(packed), None, None) if data is None else (name, seq, offset, len(packed), len(data), hashlib.sha256(data).hexdigest()))
+            if seq == last:
+                rows += _foreign(f, name, offset + length, seq + 1)
+        if rows:
+            yield _rows(rows, FOUND)
+    if f is not None:
+        f.close()
+
+
+def write_warc(pages: DataFrame, folder: str, partitions: int | None = None, damage=None) -> DataFrame:
+    """Write the files; gives the manifest of the sound records, one row each.
+
+    ``damage`` (page_id, member) -> member of the same length spoils the bytes
+    on their way to the file, as a bad disk would.
+    """
     spark = pages.sparkSession
     ship_package(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, "page_id").sortWithinPartitions("page_id")
-    return written(rows.mapInArrow(partial(_write, folder=folder), MANIFEST), "manifest")
+    return written(rows.mapInArrow(partial(_write, folder=folder, damage=damage), MANIFEST), "manifest")
 
 
-def scan_warc(files: DataFrame, folder: str, damage=None) -> DataFrame:
-    """Places and digests of the records that the files hold now; ``damage`` injects faults in tests."""
-    ship_package(files.sparkSession)
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(files.select("file").distinct().repartition(n).mapInArrow(partial(_read, folder=folder, damage=damage), FOUND), "found")
+def scan_warc(manifest: DataFrame, folder: str) -> DataFrame:
+    """Places and digests of the records that the files hold now; a file may be read by several tasks."""
+    ship_package(manifest.sparkSession)
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = manifest.groupBy("file").agg(F.max("seq").alias("last"))
+    places = manifest.select("file", "seq", "offset", "length").join(last, "file")
+    places = places.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
+    return written(places.mapInArrow(partial(_read, folder=folder), FOUND), "found")
 
 
 def tree(records: DataFrame, fan: int = FAN) -> list[DataFrame]:
@@ -196,20 +226,24 @@ def fixity(manifest: DataFrame, found: DataFrame, fan: int = FAN) -> DataFrame:
     return manifest.join(bad, ["file", "seq"], "left").withColumn("intact", F.coalesce("__ok", F.lit(True))).drop("__ok")
 
 
-def flip_some(data: bytes) -> bytes:
-    """The planted fault of the registered query: one bit of each record whose page id is 13 modulo 97."""
-    page = parse(data)[0]["warc-record-id"].removeprefix("<urn:page:").rstrip(">")
-    if page and int(page) % 97 == 13:
-        data = bytearray(data)
-        data[len(data) // 2] ^= 1
-    return bytes(data)
+def flip_some(page_id: int | None, packed: bytes) -> bytes:
+    """The planted fault of the registered query: one bit, in the file, of each record whose page id is 13 modulo 97."""
+    if page_id is None or page_id % 97 != 13:
+        return packed
+    sound = _unpacked(packed)
+    for at in range(len(packed) // 2, len(packed)):  # the first that tells: a copy from another distance may be equal
+        spoilt = bytearray(packed)
+        spoilt[at] ^= 1
+        if _unpacked(bytes(spoilt)) != sound:
+            break
+    return bytes(spoilt)
 
 
 def write_and_audit(pages: DataFrame, damage=None) -> DataFrame:
     """page_id, record_bytes, record_sha256 (as written), intact, and the place in the files."""
     folder = scratch_path(pages.sparkSession, "warc")
-    manifest = write_warc(pages, folder)
-    out = fixity(manifest, scan_warc(manifest, folder, damage))
+    manifest = write_warc(pages, folder, damage=damage)
+    out = fixity(manifest, scan_warc(manifest, folder))
     return out.select("page_id", "record_bytes", F.col("sha256").alias("record_sha256"), "intact")
 
 

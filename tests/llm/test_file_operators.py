@@ -168,6 +168,41 @@ def test_audit_descends_to_lost_and_broken_records(spark, tmp_path):
     assert (one[50]["file"], one[50]["seq"]) in bad and all(f == one[0]["file"] and s >= one[50]["seq"] for f, s in bad)
 
 
+def test_audit_names_exactly_the_damaged_records(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * (i % 9)) for i in range(200)], PAGES)
+    folder = "file://" + str(tmp_path / "w")
+    manifest = warc.write_warc(pages, folder, 2)
+    rows = sorted(manifest.collect(), key=lambda r: (r["file"], r["seq"]))
+    one = [r for r in rows if r["file"] == rows[0]["file"]]
+    path = tmp_path / "w" / one[0]["file"]
+    bad = lambda: {(r["file"], r["seq"]) for r in warc.fixity(manifest, warc.scan_warc(manifest, folder), 4).collect() if not r["intact"]}
+    key = lambda *at: {(one[0]["file"], one[k]["seq"]) for k in at}
+    data = bytearray(path.read_bytes())
+    data[one[50]["offset"] + 12] ^= 0xFF
+    path.write_bytes(bytes(data))
+    assert bad() == key(50)
+    data[one[20]["offset"]] ^= 1  # the gzip mark
+    data[one[30]["offset"] + one[30]["length"] - 8] ^= 1  # the checksum
+    path.write_bytes(bytes(data[: one[-2]["offset"] + 5]))  # and the end cut off
+    assert bad() == key(20, 30, 50, len(one) - 2, len(one) - 1)
+    path.write_bytes(bytes(data) + warc._gz(b"foreign"))
+    found = warc.scan_warc(manifest, folder)
+    assert [r["record_bytes"] for r in found.where(f"file = '{one[0]['file']}' AND seq >= {len(one)}").collect()] == [7]
+    assert bad() == key(20, 30, 50)
+
+
+def test_planted_fault_is_in_the_file(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "a" * 5000 if i % 2 else f"page {i}") for i in range(120)], PAGES)
+    manifest = warc.write_warc(pages, "file://" + str(tmp_path / "w"), 1, warc.flip_some)
+    unsound = set()
+    for r in manifest.collect():
+        with open(tmp_path / "w" / r["file"], "rb") as f:
+            f.seek(r["offset"])
+            if warc._unpacked(f.read(r["length"])) is None:
+                unsound.add(r["page_id"])
+    assert unsound == {13, 110}
+
+
 def test_placement(spark):
     names = [f"s{i}" for i in range(20)]
     table = sharding.lookup_table(names, 5003)
