@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
 from pyspark import StorageLevel  # noqa: F401  (re-exported for callers)
@@ -55,6 +56,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Name of the key that ``keyed`` gives to rows.
+ROW = "__row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows, written with a key of their own that every later reading of them sees: identifiers may be null or repeat."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def dropped(found: DataFrame, group: list[str], kept: Column) -> DataFrame:
+    """Keys of the rows that go, as ``__gone``; of several rows of a group that ``kept`` holds for, the smallest key stays."""
+    stay = found.where(kept)
+    ties = stay.groupBy(*(F.col(c).alias("__" + c) for c in group)).agg(F.min(ROW).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col("__" + c)) for c in group))
+    extra = stay.join(ties, same).where(F.col(ROW) != F.col("__first"))
+    return written(found.where(~kept).select(F.col(ROW).alias("__gone")).unionByName(extra.select(F.col(ROW).alias("__gone"))), "gone")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch path through Hadoop, whatever store it lies in."""
     jvm = spark.sparkContext._jvm

@@ -14,9 +14,9 @@ Life of the index, every step a DataFrame or SQL plan:
   (digest, normalised text), copies collapsing map-side, so that a digest
   shared by different texts is split again.
 
-Defined results: null text counts as empty; rows of the same doc_id share one
-decision; a null doc_id never stays while its class has another identifier;
-an empty table gives an empty result; other columns are ignored.
+Defined results: null text counts as empty; rows of the same doc_id and text
+share one decision (``dedup_documents`` keeps the first of them); a null doc_id
+never stays while its class has another identifier; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, scratch_path, whole_text, written
+from .common import ROW, WS_CLASS, dropped, keyed, scratch_path, whole_text, written
 
 #: Bits of the hit filter; fixed, whatever the input.
 FILTER_WORDS = 1 << 14
@@ -59,9 +59,9 @@ class DigestIndex:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def append(self, docs: DataFrame) -> DataFrame:
-        """Flush the memtables of one batch; gives its level-0 runs (digest, doc_id, run, sha)."""
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised().cast("binary"), 256).alias("sha"))
-        rows = rows.select("doc_id", self.key(F.col("sha")).alias("digest"), F.unhex("sha").alias("sha"), F.spark_partition_id().alias("run"))
+        """Flush the memtables of one batch; gives its level-0 runs (digest, doc_id, run, sha, and the rows' keys if they have any)."""
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row(docs), F.sha2(normalised().cast("binary"), 256).alias("sha"))
+        rows = rows.select("doc_id", *_row(docs), self.key(F.col("sha")).alias("digest"), F.unhex("sha").alias("sha"), F.spark_partition_id().alias("run"))
         path = f"{self.root}/level0/batch={self.batches}"
         out = self._flush(rows, path)
         self.levels.append(path)
@@ -101,13 +101,17 @@ def hit_filter(hits: DataFrame) -> DataFrame:
     return filled.agg(F.transform(packed, lambda s: s["b"]).alias("words"))
 
 
+def _row(df: DataFrame) -> list[str]:
+    return [ROW] if ROW in df.columns else []
+
+
 def exact_dedup(docs: DataFrame, fan_in: int = 256, digest_bytes: int = 32) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (and the key of ``keyed`` rows)."""
     index = DigestIndex(docs.sparkSession, fan_in, digest_bytes)
     runs = index.append(docs)
     hits = written(index.compact().where("n > 1"), "hits")
     # Byte verification: only texts that pass the filter move, and copies collapse before they do.
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row(docs), normalised().alias("norm"))
     text = text.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
     text = text.withColumn("digest", index.key(F.col("sha")))
     same = _passing(text, hits).groupBy("digest", "sha", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
@@ -140,14 +144,17 @@ def _decisions(rows: DataFrame) -> DataFrame:
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *_row(rows),
     )
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns.
+    """The documents that stay, one of each text, with their own columns.
 
-    Only the dropped identifiers (a small share) are joined; Spark sends them
-    to every task if they are small and shuffles otherwise.
+    Only the keys of dropped rows (a small share) are joined; Spark sends them
+    to every task if they are small and shuffles otherwise.  Identifiers may be
+    null or repeat: of equal ones the first row stays.
     """
-    gone = written(exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    rows = keyed(docs)
+    gone = dropped(written(exact_dedup(rows), "decisions"), ["text_sha256", "keep_id"], F.col("kept"))
+    return rows.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").select(*docs.columns)

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, ship_package, whole_text, written
+from .common import ROW, WORD_CLASS, keyed, ship_package, whole_text, written
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -131,7 +131,8 @@ def mix(docs: DataFrame, seed: int = 17, block_docs: int = 2048, fan_in: int = 6
     spark = docs.sparkSession
     ship_package(spark)
     size = F.regexp_count(whole_text(), F.lit(WORD_CLASS)).cast("long")
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")), "sizes")
+    key = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    rows = written(docs.select(key.alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")), "sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = written(targets(per_source, **how).withColumnRenamed("source", "__source"), "targets")
     # The size of ``goal`` is known to Spark, which broadcasts it if small and else joins by shuffle.
@@ -174,10 +175,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Documents without words have nothing to repeat and stay once.
     """
-    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("__doc")).agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__rows"), F.max("size").alias("__size"))
-    # Rows of one doc_id share its copies evenly; ids are unique in any ordinary table, so this is copies itself.
-    times = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.floor(F.col("__sum") / F.col("__rows"))).cast("int")
-    plan = written(plan.select("__doc", times.alias("__times")), "copies")
-    # Merge join at every size: a broadcast would only ever fit small inputs, and identifiers are not skewed.
-    out = docs.join(plan.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "inner").where("__times > 0")
+    rows = keyed(docs)
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies")).cast("int")
+    plan = written(mix(rows, **options).select(F.col("row_id").alias("__of"), times.alias("__times")), "copies")
+    # Merge join at every size: a broadcast would only ever fit small inputs, and the rows' keys are unique.
+    out = rows.join(plan.hint("merge"), F.col(ROW) == F.col("__of"), "inner").where("__times > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

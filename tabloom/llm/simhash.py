@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, written
+from .common import ROW, dropped, keyed, ship_package, written
 
 _ORD = np.int64(1) << np.int64(63)
 
@@ -70,7 +70,8 @@ def _bit_counts(rows: np.ndarray) -> np.ndarray:
 def _fingerprints(batches, shingle: int, seed: int):
     for batch in batches:
         fps = [fingerprint(t.as_py(), shingle, seed) for t in batch["text"]]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+        cols = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in cols), pa.array(np.array(fps, np.uint64).view(np.int64))], names=[*cols, "fp"])
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -195,18 +196,27 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, max_bucket: int = 1 << 20) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    return _grouped(docs, distance, shingle, seed, max_bucket).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, max_bucket: int = 1 << 20) -> DataFrame:
+    """doc_id, fp, root (the smallest fingerprint of the group), component_id (its smallest doc_id), and the key of ``keyed`` rows.
+
+    Groups are found by fingerprint: identifiers may be null or repeat.
+    """
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = written(rows.mapInArrow(partial(_fingerprints, shingle=shingle, seed=seed), "doc_id long, fp long"), "prints")
+    key = [ROW] if ROW in docs.columns else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, "text")
+    prints = written(rows.mapInArrow(partial(_fingerprints, shingle=shingle, seed=seed), "doc_id long, " + "".join(c + " long, " for c in key) + "fp long"), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    comp = components(nodes, written(similarity_links(nodes, distance, max_bucket), "links"))
-    comp = nodes.join(comp, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
-    out = prints.join(comp, "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    comp = components(nodes.select("fp", F.col("fp").alias("id")), written(similarity_links(nodes, distance, max_bucket), "links")).withColumnRenamed("component_id", "root")
+    comp = written(nodes.join(comp, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root")), "groups")
+    comp = comp.drop("id").join(comp.groupBy("root").agg(F.min("id").alias("component_id")), "root")
+    return prints.join(comp, "fp", "left")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents with the smallest doc_id of each group, with their own columns."""
-    found = near_duplicates(docs, **options)
-    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """The documents with the smallest doc_id of each group (of equal ones the first row), with their own columns."""
+    rows = keyed(docs)
+    gone = dropped(written(_grouped(rows, **options), "grouped"), ["root"], F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").select(*docs.columns)

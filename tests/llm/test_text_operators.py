@@ -199,6 +199,32 @@ def test_mixing(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_stages_decide_by_row(spark):
+    base = [" ".join(f"w{k}x{i}" for i in range(80)) for k in range(5)]
+    near = base[1] + " end"
+    odd = [(1, base[0]), (5, base[0]), (5, base[1]), (5, base[1]), (None, base[0]), (None, base[2]), (None, base[3]), (None, base[3]), (None, near), (6, base[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in odd], DOCS).repartition(3)
+    texts = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    once = [(1, base[0]), (5, base[1]), (None, base[2]), (None, base[3]), (6, base[4])]
+    assert texts(exact_dedup.dedup_documents(docs)) == sorted([*once, (None, near)], key=repr)
+    assert brute_components([brute_fingerprint(t) for t in (*base, near)], 4) == [0, 1, 2, 3, 4, 1]
+    assert texts(simhash.keep_one(docs)) == sorted(once, key=repr)
+
+
+def test_mixed_documents_repeat_each_row_by_its_own_copies(spark):
+    rng = random.Random(3)
+    rows = [(None if i % 3 == 0 else i // 4, f"t{i} " + "w " * rng.randint(1, 30), "en", f"s{i % 2}", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["source"]] += r["taken"]
+    got = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        got[r["source"]] += len(r["text"].split())
+    assert all(abs(got[s] - n) <= 40 for s, n in want.items())
+    assert set(got) == set(want)
+
+
 def test_pivot_keeps_mass_and_probabilities():
     rng = np.random.default_rng(0)
     w = rng.integers(1, 50, 40).astype(float)
