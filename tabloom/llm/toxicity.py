@@ -193,15 +193,16 @@ def learn_lexicon(texts: list[set[bytes]], y: np.ndarray, least: int = 2, most:
 class Trees:
     """Gradient-boosted trees of fixed depth for the logistic loss, over quantile bins."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, leaf: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, leaf: float = 1.0):
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
         b = self._bins(x)
-        mean = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        w = np.ones(len(y)) if weight is None else weight / weight.mean()  # ``leaf`` counts sampled rows
+        mean = np.clip(np.average(y, weights=w), 1e-3, 1 - 1e-3)
         self.start, self.trees, self.depth = float(np.log(mean / (1 - mean))), [], depth
         f = np.full(len(y), self.start)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-f))
-            g, h = y - p, p * (1 - p)
+            g, h = w * (y - p), w * p * (1 - p)
             node, splits = np.zeros(len(y), np.int64), []
             for level in range(depth):
                 best = np.full(1 << level, -1e-9), np.zeros(1 << level, np.int64), np.full(1 << level, bins, np.int64)
@@ -234,12 +235,13 @@ class Trees:
         return f
 
 
-def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: (margin, probability) knots of a non-decreasing curve."""
     order = np.argsort(margin, kind="stable")
-    blocks: list[list[float]] = []  # sum, number, first, last
-    for m, v in zip(margin[order], y[order]):
-        blocks.append([float(v), 1.0, m, m])
+    blocks: list[list[float]] = []  # weighted sum, weight, first, last
+    w = np.ones(len(y)) if weight is None else weight
+    for m, v, n in zip(margin[order], y[order], w[order]):
+        blocks.append([float(v * n), float(n), m, m])
         while len(blocks) > 1 and (blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1] or blocks[-2][3] == blocks[-1][2]):
             s, n, _, last = blocks.pop()
             blocks[-1][0] += s
@@ -252,8 +254,9 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Model:
     """Lexicon, trees and calibration; or a constant where labels of both kinds are missing."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, folds: int = 3, seed: int = 11):
-        self.constant = float(y.mean()) if len(y) else 0.0
+    def __init__(self, texts: list[str], y: np.ndarray, weight: np.ndarray | None = None, folds: int = 3, seed: int = 11):
+        w = np.ones(len(y)) if weight is None else weight
+        self.constant = float(np.average(y, weights=w)) if len(y) else 0.0
         self.trees = None
         if len(y) < 6 or y.sum() < 3 or y.sum() > len(y) - 3:
             return
@@ -269,9 +272,9 @@ class Model:
         for k in range(folds):
             own = fold == k
             if own.any() and 0 < y[~own].sum() < (~own).sum():
-                margin[own] = Trees(x[~own], y[~own]).margin(x[own])
-        self.trees = Trees(x, y)
-        self.curve = isotonic(margin, y)
+                margin[own] = Trees(x[~own], y[~own], w[~own]).margin(x[own])
+        self.trees = Trees(x, y, w)
+        self.curve = isotonic(margin, y, w)
         self.lexicon = learn_lexicon(sets, y)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -288,15 +291,20 @@ def _score(batches, model: Model, threshold: float):
         yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "held_out": pa.array(held, pa.bool_()), "score": pa.array(s, pa.float64()), "predicted": pa.array((s >= threshold).astype(np.int32))})
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_negative: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of the bounded sample; never rows that are held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_negative: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, labels and weights of the bounded sample; never rows that are held out.
+
+    The weights give both classes the share that they have among all usable labels.
+    """
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
     usable = usable.select(F.col("doc_id").cast("long").alias("__doc"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     some = [usable.where(F.col("toxic") == v).orderBy(F.xxhash64("__doc"), "__doc").limit(n) for v, n in ((1, max_positive), (0, max_negative))]
+    count = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = {v: max(1.0, count.get(v, 0) / n) if n else 1.0 for v, n in ((1, max_positive), (0, max_negative))}
     sample = F.broadcast(some[0].union(some[1]))  # max_positive + max_negative rows at most
     rows = docs.select("doc_id", whole_text().alias("text")).join(sample, F.col("doc_id").cast("long") == F.col("__doc")).select("doc_id", "text", "toxic").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], float)
+    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], float), np.array([weight[r["toxic"]] for r in rows], float)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_positive: int = 1500, max_negative: int = 3000, threshold: float = 0.7) -> DataFrame:

@@ -263,6 +263,28 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs.where("false"), labels).count() == 0
 
 
+def test_capped_classes_keep_their_share(spark):
+    docs = corpus(spark, [f"t{i}" for i in range(600)])
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    _, y, w = toxicity.training_rows(docs, labels, 1500, 3000)
+    assert (w == 1).all()
+    _, few, v = toxicity.training_rows(docs, labels, 20, 60)
+    assert few.sum() == 20 and len(few) == 80
+    assert np.isclose(v[few == 1].sum(), y.sum()) and np.isclose(v.sum(), len(y))
+
+
+def test_weights_are_as_good_as_copies():
+    rng = np.random.default_rng(6)
+    x, w = rng.integers(0, 9, (300, 2)).astype(float), rng.integers(1, 5, 300)
+    y = (rng.random(300) < x[:, 0] / 9).astype(float)
+    margin = x[:, 0] + x[:, 1] / 10
+    for a, b in zip(toxicity.isotonic(margin, y, w), toxicity.isotonic(np.repeat(margin, w), np.repeat(y, w))):
+        assert np.allclose(a, b)
+    cut = lambda k: toxicity.Trees(x[:, :1], y, k)
+    assert np.isclose(cut(np.where(y == 1, 1.0, 4.0)).start, np.log(y.sum() / (4 * (1 - y).sum())))
+    assert np.allclose(cut(None).margin(x[:, :1]), cut(np.ones(300)).margin(x[:, :1]))
+
+
 def test_isotonic():
     xs, ys = toxicity.isotonic(np.array([1.0, 2, 3, 4, 4, 5]), np.array([0, 1, 0, 1, 0, 1]))
     assert (np.diff(ys) >= 0).all() and ys[0] == 0 and ys[-1] == 1
