@@ -6,7 +6,10 @@ exact overlap is the rest of the condition, and a pair is kept in the first
 bucket both touch only, so it comes once.  Rectangles over more than ``tall``
 buckets (whole columns) would be listed too often; they go into coarser
 buckets, a level for each power of ``tall``, so no rectangle is listed more
-than ``tall`` + 1 times and no side is broadcast unchecked.
+than ``tall`` + 1 times at its own level and no side is broadcast unchecked.
+At coarser levels a rectangle is a guest: it meets those at home there, never
+another guest, so candidates grow with the rectangles that share a bucket of
+their own size.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.a1 import MAX_ROWS, RECT, intersects
 
-BUCKET, TALL = 1024, 64
+BUCKET, TALL = 16, 16
 
 
 def _levels(bucket: int, tall: int) -> list[int]:
@@ -42,24 +45,33 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: int
     columns of both and the keys once.
     """
     sizes = _levels(bucket, tall)
-    rows = F.array(*map(F.lit, sizes))
-
-    def listed(df: DataFrame, p: str) -> DataFrame:
-        own = _level(p, sizes, tall)
-        df = df.withColumn("__own", own)
-        # A pair meets at the coarser of its two levels: every rectangle is listed at its own and all coarser ones.
-        at = F.explode(F.sequence(F.col("__own"), F.lit(len(sizes) - 1))).alias("__level")
-        df = df.select("*", at)
-        size = F.get(rows, F.col("__level"))
-        span = F.sequence(F.floor((F.col(p + "row_min") - 1) / size), F.floor((F.col(p + "row_max") - 1) / size))
-        return df.select("*", F.explode(span).alias("__bucket"))
-
-    l, r = listed(left, "l_").withColumnRenamed("__own", "__lo"), listed(right, "r_").withColumnRenamed("__own", "__ro")
-    both = l.join(r, [*keys, "__level", "__bucket"])
-    size = F.get(rows, F.col("__level"))
+    out = None
+    for l, r in ((_listed(left, "l_", sizes, tall, False), _listed(right, "r_", sizes, tall, None)), (_listed(left, "l_", sizes, tall, True), _listed(right, "r_", sizes, tall, False))):
+        both = candidates(l, r, keys, sizes).where(intersects("l_", "r_")).drop("__level", "__bucket")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def _listed(df: DataFrame, p: str, sizes: list[int], tall: int, guests: bool | None) -> DataFrame:
+    """Rectangles under (level, bucket): at home, as guests of coarser levels, or both."""
+    own, last = _level(p, sizes, tall), F.lit(len(sizes) - 1)
+    if guests is None:
+        at = F.sequence(own, last)
+    elif guests:
+        at = F.when(own < last, F.sequence(F.least(own + 1, last), last))
+    else:
+        at = F.array(own)
+    df = df.select("*", F.explode(at).alias("__level"))
+    size = F.get(F.array(*map(F.lit, sizes)), F.col("__level"))
+    span = F.sequence(F.floor((F.col(p + "row_min") - 1) / size), F.floor((F.col(p + "row_max") - 1) / size))
+    return df.select("*", F.explode(span).alias("__bucket"))
+
+
+def candidates(l: DataFrame, r: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
+    """Pairs that share a bucket, in the first that both touch."""
+    size = F.get(F.array(*map(F.lit, sizes)), F.col("__level"))
     first = F.floor((F.greatest("l_row_min", "r_row_min") - 1) / size)
-    both = both.where(intersects("l_", "r_") & (F.col("__level") == F.greatest("__lo", "__ro")) & (F.col("__bucket") == first))
-    return both.drop("__level", "__bucket", "__lo", "__ro")
+    return l.join(r, [*keys, "__level", "__bucket"]).where(F.col("__bucket") == first)
 
 
 def prefixed(df: DataFrame, p: str, others: dict[str, str] | None = None) -> DataFrame:

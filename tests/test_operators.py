@@ -200,3 +200,16 @@ def test_incremental_scope(spark):
     assert lifecycle.changed_parts(old, old).count() == 0
     broad = spark.createDataFrame([("xl/workbook.xml", "2"), ("xl/worksheets/sheet1.xml", "a"), ("xl/worksheets/sheet2.xml", "b")], schema)
     assert lifecycle.sheets_to_refresh(lifecycle.changed_parts(old, broad), sheets).count() == 2
+
+
+def test_rectangles_make_few_candidates(spark):
+    """One-row rectangles of a long column: candidates grow with rows, and guests of coarser levels never meet."""
+    counts = []
+    for n in (2_000, 8_000):
+        cells = spark.range(1, n + 1).select(F.lit(1).alias("sheet_id"), *(F.col("id").cast("int").alias(c) for c in ("row_min", "row_max")), F.lit(1).alias("col_min"), F.lit(1).alias("col_max"))
+        sizes = overlap._levels(overlap.BUCKET, overlap.TALL)
+        l, r = overlap.prefixed(cells, "l_"), overlap.prefixed(cells, "r_")
+        pairs = [overlap._listed(l, "l_", sizes, overlap.TALL, a).join(overlap._listed(r, "r_", sizes, overlap.TALL, b), ["sheet_id", "__level", "__bucket"]).count() for a, b in ((False, None), (True, False))]
+        counts.append(sum(pairs))
+        assert overlap.overlap_join(l, r, ["sheet_id"]).count() == n
+    assert counts[1] <= 4 * counts[0] + overlap.BUCKET**2 and counts[1] <= overlap.BUCKET * 8_000
