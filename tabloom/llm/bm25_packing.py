@@ -39,28 +39,39 @@ ENCODED = "doc_id long, key long, n long, ids binary"
 
 def _encode(batches, path: str, end_id: int):
     enc = encoder(path)
-    end = np.array([end_id], enc.dtype)
     for batch in batches:
         docs = batch["doc_id"]
         for a, b in groups(batch["text"]):
             ids, at = enc.encode(batch["text"].slice(a, b - a))
-            blobs, keys, sizes = [], [], []
-            for i in range(b - a):
-                own = ids[at[i] : at[i + 1]]
-                top = np.unique(own)[-2:][::-1].astype(np.int64) if len(own) else np.zeros(0, np.int64)
-                keys.append(int(top[0] << 20 | (top[1] if len(top) > 1 else 0)) if len(top) else 0)
-                blobs.append(np.concatenate([own, end]).tobytes())
-                sizes.append(len(own) + 1)
-            yield pa.RecordBatch.from_pydict({"doc_id": docs.slice(a, b - a), "key": pa.array(keys, pa.int64()), "n": pa.array(sizes, pa.int64()), "ids": pa.array(blobs, pa.binary())})
-            del ids, blobs
+            sizes = np.diff(at) + 1
+            flat = np.insert(ids, at[1:], enc.dtype.type(end_id))
+            first = np.cumsum(sizes) - sizes
+            most = np.maximum.reduceat(flat, first)
+            second = np.maximum.reduceat(np.where(flat == np.repeat(most, sizes), 0, flat), first)
+            ends = np.append(first, len(flat)) * enc.dtype.itemsize
+            blobs = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+            yield pa.RecordBatch.from_pydict({"doc_id": docs.slice(a, b - a), "key": pa.array(most.astype(np.int64) << 20 | second.astype(np.int64)), "n": pa.array(sizes), "ids": blobs})
+            del ids, flat, blobs
         trim()
 
 
+def postings(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term, document and count of every pair that occurs, by term and then document; ids of 16 bits sort in linear time."""
+    order = np.argsort(flat, kind="stable")
+    term, doc = flat[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return term[at].astype(np.int64), doc[at].astype(np.int64), np.diff(at, append=len(flat))
+
+
 def _frequencies(batches, dtype: str, vocab: int):
     df = np.zeros(vocab, np.int64)
     for batch in batches:
-        for blob in batch["ids"]:
-            df[np.unique(np.frombuffer(blob.as_buffer(), dtype))] += 1
+        for a, b in groups(batch["ids"]):
+            blobs = [x.as_buffer() for x in batch["ids"].slice(a, b - a)]
+            parts = [np.frombuffer(x, dtype) for x in blobs]
+            df += np.bincount(postings(np.concatenate(parts), np.array([len(x) for x in parts]))[0], minlength=vocab)
     seen = np.flatnonzero(df)
     yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int64()), "df": pa.array(df[seen], pa.int64())})
 
@@ -69,10 +80,8 @@ class Shard:
     """Inverted index of one shard, with BM25 weights from counts over the whole corpus."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        ids = np.concatenate(docs).astype(np.int64)
         lens = np.array([len(d) for d in docs])
-        pair, tf = np.unique(ids * len(docs) + np.repeat(np.arange(len(docs)), lens), return_counts=True)
-        term, doc = np.divmod(pair, len(docs))
+        term, doc, tf = postings(np.concatenate(docs), lens)
         use = idf[term] > 0  # ids of half the corpus or more say nothing about a neighbour
         term, doc, tf = term[use], doc[use], tf[use]
         self.doc = doc

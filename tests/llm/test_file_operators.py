@@ -21,14 +21,17 @@ def random_texts(n, seed=5):
     return [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ".", ",", "\nNew"]) for _ in range(rng.randint(0, 300))) for _ in range(n)]
 
 
+#: Texts with added tokens, and capitals whose mark composes with the small letter only.
+SPECIAL = ["x <|endoftext|> y", "a<|startoftext|>b <|endoftext|>", "<|ENDOFTEXT|> <| endoftext", "H\u0331 J\u030c T\u0308 W\u030a Y\u030a", "\u0130stanbul K\u00aa \u00ba", "a!!!!!!!!! b?,.! c:;"]
+
+
 @pytest.mark.parametrize("name", [BYTE, WORD])
 def test_encoder_equals_library(name):
     from tokenizers import Tokenizer
 
     path = tokens.tokenizer_path(name)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = ODD + random_texts(60)
+    texts = ODD + SPECIAL + random_texts(60)
     got = [x.tolist() for x in tokens.encode_column(pa.array(texts, pa.string()), path)]
     assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
@@ -63,7 +66,6 @@ def expected_ids(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_path(name))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
 
 
@@ -71,7 +73,7 @@ crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
 def test_token_files(spark):
-    texts = ODD + random_texts(80)
+    texts = ODD + SPECIAL + random_texts(80)
     docs = corpus(spark, texts).repartition(3)
     ids = expected_ids(BYTE, texts)
     got = sorted(tuple(r) for r in bit_packing.encode_and_read_back(docs, tokens.tokenizer_path(BYTE)).collect())
