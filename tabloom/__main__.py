@@ -27,6 +27,15 @@ def mermaid(tree: dict) -> str:
     return "\n".join(lines)
 
 
+def argument(text: str):
+    """Numbers, lists and true, false or null as JSON; any other text as it stands."""
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return text
+    return text if isinstance(value, str) else value
+
+
 def main(args: list[str]) -> int:
     if len(args) < 2 or args[0] not in (*TOOLS, "graph"):
         print(__doc__, "\nTools:", *TOOLS, "graph", file=sys.stderr)
@@ -34,9 +43,9 @@ def main(args: list[str]) -> int:
     try:
         book = Workbook(session(), args[1], os.environ.get("TABLOOM_ROOT"))
         if args[0] == "graph":
-            print(mermaid(book.trace_dependents(*args[2:])["tree"]))
+            print(mermaid(book.trace_dependents(args[2], *map(argument, args[3:]))["tree"]))
         else:
-            print(json.dumps(getattr(book, TOOLS[args[0]])(*args[2:]), ensure_ascii=False, indent=2))
+            print(json.dumps(getattr(book, TOOLS[args[0]])(*args[2:3], *map(argument, args[3:])), ensure_ascii=False, indent=2))
     except WorkbookError as x:
         print(json.dumps({"error": {"code": x.code, "message": str(x)}}))
         return 1

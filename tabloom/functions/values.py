@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-#: What each error text means; fixed values.
+#: Excel's error values, each with a message of our own.
 ERROR_TEXTS = {
-    "#REF!": "reference to a cell that is gone",
-    "#DIV/0!": "division by zero",
-    "#N/A": "no value is available",
-    "#VALUE!": "operand of the wrong type",
-    "#NAME?": "unknown name",
-    "#NUM!": "number out of range",
-    "#NULL!": "areas that do not intersect",
-    "#SPILL!": "spill range is blocked",
-    "#CALC!": "calculation engine error",
+    "#BLOCKED!": "a resource the formula needs is not accessible",
+    "#BUSY!": "still waiting for a service",
+    "#CALC!": "the calculation has no result, as of an empty array",
+    "#CONNECT!": "no connection to a service",
+    "#DIV/0!": "divisor is zero or empty",
+    "#FIELD!": "the record has no such field",
+    "#GETTING_DATA": "data are still loading",
+    "#N/A": "lookup found nothing",
+    "#NAME?": "function or name not recognised",
+    "#NULL!": "two ranges share no cell",
+    "#NUM!": "numeric argument or result not allowed",
+    "#REF!": "points at cells that were deleted",
+    "#SPILL!": "cells in the way of an array result",
+    "#UNKNOWN!": "data type this version cannot show",
+    "#VALUE!": "argument has the wrong type",
 }
 
 

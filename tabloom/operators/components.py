@@ -12,7 +12,10 @@ def materialised(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tabloom-cp-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="tabloom-cp-"))
     return df.checkpoint()
 
 

@@ -56,6 +56,11 @@ def stale(rects: DataFrame) -> DataFrame:
     return _finding(rects, "I_STALE", F.lit("value is older than an edit it depends on"), "row_min", "col_min", ref=a1.rect_ref())
 
 
+def possibly_circular(found: DataFrame) -> DataFrame:
+    """DIA2 where a component is too large to follow: sheet_id, row, col, blocks."""
+    return _finding(found, "W_POSSIBLE_CIRCULAR", F.concat(F.col("blocks").cast("string"), F.lit(" blocks may read each other in a circle")))
+
+
 def circular(found: DataFrame) -> DataFrame:
     """DIA2 from cycles: sheet_id, row, col, cycle (array of references)."""
     return _finding(found, "E_CIRCULAR", F.concat(F.lit("circular reference: "), F.array_join("cycle", " -> ")), related=F.to_json(F.struct("cycle")))

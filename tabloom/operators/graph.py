@@ -95,6 +95,25 @@ def self_reading(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return e.where(meets("row", "row_min", "row_max") & meets("col", "col_min", "col_max")).select("src_sheet_id", "src_n").distinct()
 
 
+def one_way(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Blocks that read themselves in one direction only, as running totals do; alone they make no cycle.
+
+    edges as for ``self_reading``.  Every reference of the block to itself has
+    both ends above the reading cell's row (or all below, or all on one side of
+    its column), so following them leaves the block.
+    """
+    e = edges.join(blocks.select(F.col("sheet_id").alias("src_sheet_id"), F.col("n").alias("src_n"), *RECT), ["src_sheet_id", "src_n"])
+    e = e.where("dst_sheet_id = src_sheet_id AND dst_row_min <= row_max AND dst_row_max >= row_min AND dst_col_min <= col_max AND dst_col_max >= col_min")
+
+    def beyond(axis: str, sign: int):
+        edge = F.col(axis + ("_min" if sign < 0 else "_max"))
+        ends = [F.when(F.col(f"{axis}{k}_rel"), F.col(f"{axis}{k}") * sign > 0).otherwise((F.col(f"{axis}{k}") - edge) * sign > 0) for k in "12"]
+        return F.every(ends[0] & ends[1])
+
+    got = e.groupBy("src_sheet_id", "src_n").agg((beyond("row", -1) | beyond("row", 1) | beyond("col", -1) | beyond("col", 1)).alias("ok"))
+    return got.where("ok").select("src_sheet_id", "src_n")
+
+
 def cyclic_candidates(links: DataFrame) -> DataFrame:
     """Links left after repeatedly dropping nodes without an incoming or outgoing link: all cycles survive, chains go."""
     links = materialised(links.select("a", "b").distinct())

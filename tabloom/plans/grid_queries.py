@@ -244,13 +244,13 @@ def sheet_detail_rank(t):
 
 @query("""WITH b AS (SELECT p_size % 3 AS workbook, p_brand AS region, p_partkey AS idx FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY workbook, region ORDER BY idx) AS column_rank FROM b),
     x AS (SELECT *, CASE WHEN column_rank > 16 THEN row_number() OVER (PARTITION BY workbook, column_rank > 16 ORDER BY region, idx) END AS extra_rank FROM r)
-    SELECT * FROM x WHERE column_rank <= 16 OR extra_rank <= 100""")
+    SELECT * FROM x WHERE column_rank <= 16 OR extra_rank <= 512""")
 def column_extra_rank(t):
     """WIN6."""
     from ..operators.workbook_map import column_ranks
 
     c = t.part.select(F.pmod("p_size", F.lit(3)).alias("workbook"), F.col("p_brand").alias("region"), F.col("p_partkey").alias("idx"))
-    got = column_ranks(c, 16, 100)
+    got = column_ranks(c, 16, 512)
     return got.withColumns({"column_rank": F.col("column_rank").cast("long"), "extra_rank": F.col("extra_rank").cast("long")})
 
 

@@ -24,6 +24,8 @@ from ..sources import ooxml, ooxml_writer
 from ..sources.ooxml import WorkbookError, rect_text
 
 READ_CAP, FIND_CAP, SYMBOL_CAP, TRACE_CAP, DIAG_CAP = 200, 50, 100, 200, 100
+#: Cells of one component of blocks that are followed one by one in the search for cycles.
+CYCLE_CELLS = 20_000
 
 
 def allowed(path: str, root: str | None = None) -> str:
@@ -198,7 +200,9 @@ class Workbook:
         parts.append(diagnostics.issues(self._frame(issues, "sheet_id int, n int, row int, col int, code string, message string")))
         parts.append(diagnostics.links(self._frame(self._links(anchors), "sheet_id int, row int, col int, target string, status string")))
         parts.append(diagnostics.stale(self._frame(self.stale_rects, "sheet_id int, row_min int, row_max int, col_min int, col_max int")))
-        parts.append(diagnostics.circular(self._frame(self._circular(anchors), "sheet_id int, row int, col int, cycle array<string>")))
+        certain, possible = self._circular(anchors)
+        parts.append(diagnostics.circular(self._frame(certain, "sheet_id int, row int, col int, cycle array<string>")))
+        parts.append(diagnostics.possibly_circular(self._frame(possible, "sheet_id int, row int, col int, blocks int")))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -221,27 +225,75 @@ class Workbook:
             rows.append((r["sheet_id"], a["row_min"], a["col_min"], target, status))
         return rows
 
-    def _circular(self, anchors: dict) -> list[tuple]:
-        """Cycles between cells: blocks in a cycle are expanded to their cells and checked exactly."""
-        links = graph.block_links(self.fblocks, self.edges)
-        suspects = graph.strong_components(links)
-        nodes = [r["id"] for r in suspects.toLocalIterator()]
+    @cached_property
+    def own_references(self) -> DataFrame:
+        """Cell references of blocks to their own sheet, with terms and extruded rectangles, as edges."""
+        b, s = self.fblocks.select("sheet_id", "n", *RECT), self.sheets.select("sheet_id", F.lower("name").alias("own"))
+        r = self.references.where("via = 'ref' AND row1 IS NOT NULL").join(s, "sheet_id").where("sheet IS NULL OR lower(sheet) = own")
+        return edges.extrude(r.join(b, ["sheet_id", "n"])).drop(*RECT).withColumnsRenamed({"sheet_id": "src_sheet_id", "n": "src_n"}).withColumn("dst_sheet_id", F.col("src_sheet_id"))
+
+    def _circular(self, anchors: dict) -> tuple[list[tuple], list[tuple]]:
+        """Cycles between cells, and components too large to say.
+
+        Blocks that read themselves one way only are no cycle alone.  Of each
+        other component all cells are followed if there are at most
+        CYCLE_CELLS; beyond that a block with a cell in its own range is a
+        cycle for certain, any other component a possible one.
+        """
+        links = components.materialised(graph.block_links(self.fblocks, self.edges))
+        node = lambda df: df.select(graph.node("src_sheet_id", "src_n").alias("a"), F.col("src_n").alias("__n"))
+        plain = node(graph.one_way(self.fblocks, self.own_references)).join(self.references.where("via <> 'ref' AND NOT startswith(via, 'opaque')").select(graph.node("sheet_id", "n").alias("a")).distinct(), "a", "left_anti").select("a", F.lit(True).alias("__ok"))
+        links = links.join(plain, "a", "left").where("a <> b OR __ok IS NULL").select("a", "b")
+        groups: dict[int, list[int]] = {}
+        for r in graph.strong_components(links).orderBy("component", "id").toLocalIterator():
+            groups.setdefault(r["component"], []).append(r["id"])
+        certain = {r["a"] for r in node(graph.self_reading(self.fblocks, self.own_references)).toLocalIterator()} if groups else set()
+        found, possible = [], []
+        for members in groups.values():
+            rects = [anchors[v >> 32, v & 0xFFFFFFFF] for v in members]
+            if sum((a["row_max"] - a["row_min"] + 1) * (a["col_max"] - a["col_min"] + 1) for a in rects) <= CYCLE_CELLS:
+                found += self._cell_cycles(rects)
+                continue
+            for v, a in zip(members, rects):
+                if v in certain:
+                    text = f"{self.sheet_names[a['sheet_id']]}!{rect_text(*(a[c] for c in RECT))}"
+                    found.append((a["sheet_id"], a["row_min"], a["col_min"], [text, text]))
+            if not certain & set(members):
+                possible.append((rects[0]["sheet_id"], rects[0]["row_min"], rects[0]["col_min"], len(members)))
+        return found, possible
+
+    def _cell_cycles(self, blocks: list) -> list[tuple]:
+        """The cells of a component's blocks, with all that each reads: cells, names, tables and runs of sheets."""
+        areas: dict[tuple, list] = {}
+        for n, scope, *rect in self.package.names_and_areas()[1]:
+            areas.setdefault((n.casefold(), scope), []).append(tuple(rect))
+        tables = {x[1].casefold(): x for e in self.extras for x in e["list_objects"]}
+        ids = {n.casefold(): i for n, i in self.sheet_ids.items()}
+        order = [s.sheet_id for s in self.package.sheets]
         cells: dict[tuple, str] = {}
-        for v in nodes:
-            a = anchors[v >> 32, v & 0xFFFFFFFF]
-            if (a["row_max"] - a["row_min"] + 1) * (a["col_max"] - a["col_min"] + 1) > 100_000:
-                continue  # reported by the self-inclusion rule if certain
+        for a in blocks:
             for r in range(a["row_min"], a["row_max"] + 1):
                 for c in range(a["col_min"], a["col_max"] + 1):
                     cells[a["sheet_id"], r, c] = formula.translate(a["formula"], a["row_min"], a["col_min"], r, c)
         back: dict[tuple, list[tuple]] = {}
         for (s, r, c), f in cells.items():
+            reads = back.setdefault((s, r, c), [])
             for ref in formula.analyze(f, r, c).references:
-                if ref.rect and ref.via == "ref":
-                    to = s if ref.sheet is None else next((i for n, i in self.sheet_ids.items() if n.casefold() == ref.sheet.casefold()), None)
+                if ref.rect and ref.via in ("ref", "3d"):
+                    if ref.via == "3d":
+                        ends = sorted(order.index(ids[x.casefold()]) for x in ref.sheet.split(":") if x.casefold() in ids)
+                        to = order[ends[0] : ends[-1] + 1] if ends else []
+                    else:
+                        to = [s if ref.sheet is None else ids.get(ref.sheet.casefold())]
                     (r1, a), (r2, b), (c1, d), (c2, e) = ref.rect
                     rows, cols = sorted((r1 + r * a, r2 + r * b)), sorted((c1 + c * d, c2 + c * e))
-                    back.setdefault((s, r, c), []).append((to, *rows, *cols))
+                    reads += [(t, *rows, *cols) for t in to]
+                elif ref.via.startswith("name:"):
+                    key = ref.via[5:].casefold()
+                    reads += areas.get((key, s)) or areas.get((key, None), [])
+                elif ref.via.startswith("structured:"):
+                    got = self._structured(ref.via, s, 0, 0, tables, {"row_min": r, "row_max": r, "col_min": c, "col_max": c})
+                    reads += [got[2:7]] if got[2] is not None else []
         by_col: dict[tuple, list[int]] = {}
         for s, r, c in sorted(cells):
             by_col.setdefault((s, c), []).append(r)
@@ -489,12 +541,13 @@ def _cycles(cells: dict, back: dict, by_col: dict, names: dict) -> list[tuple]:
                     yield (s, r, c)
 
     state: dict = {}
-    out = []
+    place: dict = {}
+    out, known = [], set()
     for root in sorted(cells):
         if root in state:
             continue
         stack, path = [(root, reads(root))], [root]
-        state[root] = 1
+        state[root], place[root] = 1, 0
         while stack:
             v, it = stack[-1]
             w = next(it, None)
@@ -503,14 +556,15 @@ def _cycles(cells: dict, back: dict, by_col: dict, names: dict) -> list[tuple]:
                 stack.pop()
                 path.pop()
             elif state.get(w) == 1:
-                loop = path[path.index(w) :]
+                loop = path[place[w] :]
                 k = loop.index(min(loop))
                 loop = loop[k:] + loop[:k]
                 text = [f"{names[s]}!{formula.column_name(c)}{r}" for s, r, c in [*loop, loop[0]]]
-                if (loop[0], tuple(text)) not in {(x[0], x[1]) for x in out}:
+                if tuple(text) not in known:
+                    known.add(tuple(text))
                     out.append((loop[0], tuple(text)))
             elif w not in state:
-                state[w] = 1
+                state[w], place[w] = 1, len(path)
                 stack.append((w, reads(w)))
                 path.append(w)
     return [(s, r, c, list(text)) for (s, r, c), text in out]

@@ -1,6 +1,6 @@
 """A folder of workbooks as a stream: changed files are parsed again, others are not.
 
-The reference keeps freshness by path, modification time and length; a file
+Freshness is commonly kept by path, modification time and length; a file
 source has the same rule, so a new version of a file is a new row.  Each batch
 replaces the partitions of its workbooks only (dynamic partition overwrite).
 """
