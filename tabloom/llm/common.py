@@ -10,7 +10,6 @@ import zipfile
 from functools import reduce
 from pathlib import Path
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +32,8 @@ def shared_root(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     own = getattr(spark, "_tabloom_shared", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="tabloom-")

@@ -30,14 +30,17 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, WORD_CLASS, keyed, ship_package, whole_text, written
+from .common import ROW, WORD_CLASS, keyed, scratch_path, ship_package, whole_text, written
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 EPS = 1e-9
+#: A row key holds the number of the part that its row was written in above these bits.
+PART_BITS = 33
 STATE = "row_id long, doc_id long, source string, size long, ratio double, class int, block long, p double, copies long, open boolean"
 
 
@@ -170,14 +173,41 @@ def mix(docs: DataFrame, seed: int = 17, block_docs: int = 2048, fan_in: int = 6
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "row_id")
 
 
+def _copied(batches, folder: str):
+    """Rows as often as the plan of their own part of the table says; a task holds the plan of one part."""
+    from pyarrow import parquet
+
+    from .bit_packing import open_store
+
+    store, root = open_store(folder)
+    part, first, times = None, 0, None
+    for batch in batches:
+        ids = batch[ROW].to_numpy()
+        body = batch.select([c for c in batch.schema.names if c != ROW])
+        cuts = np.flatnonzero(np.diff(ids >> PART_BITS)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(ids)]):
+            if a == b:
+                continue
+            if ids[a] >> PART_BITS != part:
+                part = int(ids[a] >> PART_BITS)
+                plan = parquet.read_table(f"{root}/part={part}", columns=["row_id", "times"], filesystem=store, partitioning=None)
+                known, many = plan["row_id"].to_numpy(), plan["times"].to_numpy()
+                first, times = int(known.min()), np.zeros(int(known.max() - known.min()) + 1, np.int64)
+                times[known - first] = many
+            yield body.take(pa.array(np.repeat(np.arange(a, b), times[ids[a:b] - first])))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns.
 
-    Documents without words have nothing to repeat and stay once.
+    The plan (key and copies of each row) is dealt by the part of the table that
+    a row was written in, and each task reads the plan of its own part: texts
+    never move.  Documents without words have nothing to repeat and stay once.
     """
+    spark = docs.sparkSession
     rows = keyed(docs)
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies")).cast("int")
-    plan = written(mix(rows, **options).select(F.col("row_id").alias("__of"), times.alias("__times")), "copies")
-    # Merge join at every size: a broadcast would only ever fit small inputs, and the rows' keys are unique.
-    out = rows.join(plan.hint("merge"), F.col(ROW) == F.col("__of"), "inner").where("__times > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies")).cast("long")
+    plan = mix(rows, **options).select("row_id", times.alias("times"), F.shiftright("row_id", PART_BITS).alias("part"))
+    folder = scratch_path(spark, "copies")
+    plan.repartition("part").write.partitionBy("part").parquet(folder)
+    return rows.mapInArrow(partial(_copied, folder=folder), docs.schema)
