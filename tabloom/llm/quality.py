@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ship_package
+from .common import ship_package, written
 
 WS = " \t\n\x0b\x0c\r"
 #: The characters counted as symbols.
@@ -137,21 +138,26 @@ def quality_report(docs: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
     return apply_policy(ledger(docs), version).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
-def _filter(batches, mask: int):
-    """Rows as they came, without those whose failure bits meet the mask."""
+def _beside(batches):
+    """The measurements, and the whole row beside them."""
+    names = [x.split()[0] for x in MEASURES.split(", ")]
     for batch in batches:
-        keep = [not failures(measure(t.as_py())) & mask for t in batch["text"]]
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        got = [measure(t.as_py()) for t in batch["text"]]
+        cols = list(zip(*got)) or [[]] * len(names)
+        row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), row], names=[*names, "row"])
 
 
-def failures(m: tuple[int, ...]) -> int:
-    """The bits of RULES for measurements on the executor; equal to ``with_failures`` (a test holds them together)."""
-    w, wc, sym, dup, rep, lines, _, up, let = m
-    bits = [w < MIN_WORDS, 100 * rep > 50 * w, 10 * sym > 3 * w, 2 * dup > lines, w > 0 and not 2 * w <= wc <= 15 * w, 10 * up > 5 * let, 10 * let < 5 * wc]
-    return sum(1 << k for k, b in enumerate(bits) if b)
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger of all rows, kept in the shared folder: measurements, ``failed``, and the document as ``row``.
+
+    Policies and ablations read the columns they need; texts are measured once.
+    """
+    ship_package(docs.sparkSession)
+    schema = StructType([*(StructField(x.split()[0], LongType()) for x in MEASURES.split(", ")), StructField("row", docs.schema, False)])
+    return written(with_failures(docs.mapInArrow(_beside, schema)), "ledger")
 
 
 def keep_good(docs: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
-    """The documents that a policy keeps, with their own columns; one narrow pass, no join."""
-    ship_package(docs.sparkSession)
-    return docs.mapInArrow(partial(_filter, mask=POLICIES[version] | BASE_MASK), docs.schema)
+    """The documents that a policy keeps by the stored ledger, with their own columns; no join."""
+    return apply_policy(stored_ledger(docs), version).where("kept").select("row.*")
