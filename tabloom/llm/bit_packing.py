@@ -19,7 +19,6 @@ gives no file and an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, scratch_path, ship_package, written
+from .common import drop_path, file_parts, scratch_path, ship_package, written
 from .tokens import encoder, groups, trim
 
 MAGIC = b"TBPK1\0\0\0"
@@ -193,7 +192,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, parti
     """Write the files in ascending doc_id order; gives the manifest (file, shard, n_docs, n_tokens)."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or file_parts(docs)
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     return written(rows.mapInArrow(partial(_write, folder=folder, path=path, end_id=end_id), "file string, shard long, n_docs long, n_tokens long"), "manifest")
 
@@ -221,7 +220,3 @@ def encode_and_read_back(docs: DataFrame, path: str, end_id: int = 2, partitions
 
 def remove_tokens(spark, folder: str) -> None:
     drop_path(spark, folder)
-
-
-def shards_for(total_bytes: int, target: int = 128 << 20) -> int:
-    return max(1, math.ceil(total_bytes / target))

@@ -75,6 +75,35 @@ def dropped(found: DataFrame, group: list[str], kept: Column) -> DataFrame:
     return written(found.where(~kept).select(F.col(ROW).alias("__gone")).unionByName(extra.select(F.col(ROW).alias("__gone"))), "gone")
 
 
+#: Most keys that ``join_counted`` may broadcast.
+HOT_KEYS = 4096
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, counts: str, total: int) -> DataFrame:
+    """``rows`` left join ``groups`` on ``key``, where ``counts`` says how many rows each key has (``total`` in all).
+
+    Keys of more rows than total / HOT_KEYS are HOT_KEYS at most: they are
+    broadcast, so that their rows never meet in one task.  The rest is left to Spark.
+    """
+    bound = max(1024, -(-total // HOT_KEYS))
+    hot = groups.where(F.col(counts) > bound)
+    mine = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(counts) <= bound), key, "left")
+    return mine.unionByName(rest)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes that the leaves of a plan read, as far as Spark knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)  # what has no size says 2^63 - 1
+
+
+def file_parts(df: DataFrame, target: int = 128 << 20) -> int:
+    """Parts for files of about ``target`` bytes of input at most, and not fewer than ``spark.sql.shuffle.partitions``."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // target))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch path through Hadoop, whatever store it lies in."""
     jvm = spark.sparkContext._jvm

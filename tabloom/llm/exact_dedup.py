@@ -8,8 +8,9 @@ Life of the index, every step a DataFrame or SQL plan:
   filter on the digest), at level 0;
 * **compaction** - ``fan_in`` runs at a time merge into one of the next level;
   of equal digests the smallest identifier and the number of rows survive;
-* **hits** - digests with more than one row.  A fixed-size bitmap filter of the
-  hits (its size never grows) prunes the texts before they are compared;
+* **hits** - digests with more than one row.  A bitmap filter of the hits, 16
+  bits a hit up to 4 MB (beyond that it prunes less), keeps other texts from
+  the comparison;
 * **verification** - texts of hits are compared byte for byte: rows group by
   (digest, normalised text), copies collapsing map-side, so that a digest
   shared by different texts is split again.
@@ -24,11 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, WS_CLASS, dropped, keyed, scratch_path, whole_text, written
+from .common import ROW, WS_CLASS, dropped, join_counted, keyed, scratch_path, whole_text, written
 
-#: Bits of the hit filter; fixed, whatever the input.
-FILTER_WORDS = 1 << 14
-FILTER_BITS = FILTER_WORDS * 64
+#: 64-bit words of the hit filter, at least and at most (4 MB).
+FILTER_WORDS = 1 << 10, 1 << 19
 
 
 def normalised(col: str = "text") -> Column:
@@ -86,17 +86,28 @@ class DigestIndex:
                 return level.drop("run")
             runs = (runs + self.fan_in - 1) // self.fan_in
 
+    def find(self, sha256: str) -> DataFrame:
+        """Rows of one digest in the runs, for a text that arrives later; runs whose filter or range excludes it are skipped."""
+        digest = bytes.fromhex(sha256[: self.hex])
+        return self.runs().where(F.col("digest") == F.lit(digest)).select("doc_id", F.lower(F.hex("sha")).alias("text_sha256"))
 
-def _slot(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
 
+def filter_words(hits: int) -> int:
+    """16 bits a hit, a power of two within FILTER_WORDS."""
+    low, high = FILTER_WORDS
+    return min(high, max(low, 1 << (hits // 4).bit_length()))
 
-def hit_filter(hits: DataFrame) -> DataFrame:
-    """One row: ``words``, a bitmap of FILTER_WORDS longs.  Full bitmaps prune nothing but stay right."""
-    slot = _slot(F.col("digest"))
+
+def _slot(digest: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(64 * words))
+
+
+def hit_filter(hits: DataFrame, words: int) -> DataFrame:
+    """One row: ``words``, a bitmap of that many longs.  Full bitmaps prune nothing but stay right."""
+    slot = _slot(F.col("digest"), words)
     bits = hits.select((slot / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("b"))
     bits = bits.groupBy("w").agg(F.bit_or("b").alias("b"))
-    filled = hits.sparkSession.range(FILTER_WORDS).withColumnRenamed("id", "w").join(bits, "w", "left")
+    filled = hits.sparkSession.range(words).withColumnRenamed("id", "w").join(bits, "w", "left")
     packed = F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))))
     return filled.agg(F.transform(packed, lambda s: s["b"]).alias("words"))
 
@@ -117,7 +128,7 @@ def exact_dedup(docs: DataFrame, fan_in: int = 256, digest_bytes: int = 32) -> D
     same = _passing(text, hits).groupBy("digest", "sha", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     same = same.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.max("n").alias("n"))
     verified = written(same.where("texts > 1 or n > 1"), "verified")
-    out = runs.join(verified.where("texts = 1").drop("texts"), "digest", "left")
+    out = join_counted(runs, verified.where("texts = 1").drop("texts"), "digest", "n", runs.count())
     mixed = verified.where("texts > 1").select("digest")
     if mixed.isEmpty():
         return _decisions(out)
@@ -130,8 +141,9 @@ def exact_dedup(docs: DataFrame, fan_in: int = 256, digest_bytes: int = 32) -> D
 
 def _passing(text: DataFrame, hits: DataFrame) -> DataFrame:
     """Rows whose digest may be among ``hits``: no false negatives, few false positives."""
-    words = written(hit_filter(hits), "filter").scalar()
-    slot = _slot(F.col("digest"))
+    n = filter_words(hits.count())
+    words = written(hit_filter(hits, n), "filter").scalar()
+    slot = _slot(F.col("digest"), n)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
     return text.where(F.get(words, (slot / 64).cast("int")).bitwiseAND(bit) != 0)
 

@@ -47,7 +47,7 @@ _BLOCK = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Text of these is never shown.
-_RAW = frozenset("script style template svg math object applet".split())
+_RAW = frozenset("script style template svg annotation annotation-xml".split())
 #: A start tag closes an open element of the same set, up to the nearest container.
 _IMPLIED = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 _IMPLIED = {k: frozenset(v.split()) for k, v in _IMPLIED.items()}

@@ -32,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, dropped, keyed, ship_package, written
+from .common import ROW, dropped, join_counted, keyed, ship_package, written
 
-_ORD = np.int64(1) << np.int64(63)
+#: Fingerprints of one variant that a task compares; larger variants are dealt into pairs of blocks.
+MAX_BUCKET = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -150,7 +151,7 @@ def _links(batches, distance: int):
     yield rows(out)
 
 
-def similarity_links(nodes: DataFrame, distance: int, max_bucket: int = 1 << 20) -> DataFrame:
+def similarity_links(nodes: DataFrame, distance: int, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Links (a, b) between different fingerprints that connect all within ``distance``."""
     n = nodes.count()
     keyed = nodes.select("fp", F.explode(variants(distance)).alias("key"))
@@ -194,12 +195,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return start.join(parent, "label").select("fp", F.col("root").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, max_bucket: int = 1 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     return _grouped(docs, distance, shingle, seed, max_bucket).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _grouped(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, max_bucket: int = 1 << 20) -> DataFrame:
+def _grouped(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, fp, root (the smallest fingerprint of the group), component_id (its smallest doc_id), and the key of ``keyed`` rows.
 
     Groups are found by fingerprint: identifiers may be null or repeat.
@@ -208,11 +209,12 @@ def _grouped(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 4
     key = [ROW] if ROW in docs.columns else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, "text")
     prints = written(rows.mapInArrow(partial(_fingerprints, shingle=shingle, seed=seed), "doc_id long, " + "".join(c + " long, " for c in key) + "fp long"), "prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows")), "nodes")
     comp = components(nodes.select("fp", F.col("fp").alias("id")), written(similarity_links(nodes, distance, max_bucket), "links")).withColumnRenamed("component_id", "root")
-    comp = written(nodes.join(comp, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root")), "groups")
-    comp = comp.drop("id").join(comp.groupBy("root").agg(F.min("id").alias("component_id")), "root")
-    return prints.join(comp, "fp", "left")
+    comp = written(nodes.join(comp, "fp", "left").select("fp", "id", "rows", F.coalesce("root", "fp").alias("root")), "groups")
+    roots = written(comp.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("members")), "roots")
+    comp = written(join_counted(comp.drop("id"), roots, "root", "members", comp.count()).drop("members"), "components")
+    return join_counted(prints, comp, "fp", "rows", prints.count()).drop("rows")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

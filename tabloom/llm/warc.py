@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, scratch_path, ship_package, written
+from .common import drop_path, file_parts, scratch_path, ship_package, written
 
 FAN = 64
 MANIFEST = "page_id long, file string, seq long, offset long, length long, record_bytes long, sha256 string"
@@ -171,7 +171,7 @@ def write_warc(pages: DataFrame, folder: str, partitions: int | None = None, dam
     spark = pages.sparkSession
     ship_package(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or file_parts(pages)
     rows = rows.repartitionByRange(n, "page_id").sortWithinPartitions("page_id")
     return written(rows.mapInArrow(partial(_write, folder=folder, damage=damage), MANIFEST), "manifest")
 

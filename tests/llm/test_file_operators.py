@@ -293,16 +293,16 @@ def test_isotonic():
 
 
 def test_pipeline_equals_its_operators(spark, sf, tmp_path):
+    from tests.llm.test_text_operators import brute_components, brute_failures
+
     docs = spark.read.parquet(sf + "/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
-    good = {i: r for i, r in rows.items() if not quality.failures(quality.measure(r["text"])) & (quality.POLICIES[quality.CURRENT_POLICY] | 3)}
+    good = {i: r for i, r in rows.items() if not brute_failures(r["text"]) & (quality.POLICIES[quality.CURRENT_POLICY] | 3)}
     first = {}
     for i in sorted(good):
         first.setdefault(" ".join(good[i]["text"].split(" ")) and __import__("re").sub(r"[\x20\x09-\x0d]+", " ", good[i]["text"]), i)
     ids = sorted(first.values())
     fps = [simhash.fingerprint(good[i]["text"]) for i in ids]
-    from tests.llm.test_text_operators import brute_components
-
     left = sorted({ids[c] for c in brute_components(fps, 4)})
     assert left
     part = docs.where(docs.doc_id.isin(left))

@@ -44,6 +44,28 @@ def test_exact_dedup_edges(spark):
     assert got == sorted([(None, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (None, None, 1, True)], key=repr)
 
 
+def test_digest_lookup_and_filter_size(spark):
+    index = exact_dedup.DigestIndex(spark)
+    for part in (["a b", "c"], ["a  b", "d"]):
+        index.append(corpus(spark, part))
+    sha = hashlib.sha256(b"a b").hexdigest()
+    assert [(r["doc_id"], r["text_sha256"]) for r in index.find(sha).collect()] == [(0, sha), (0, sha)]
+    assert index.find(hashlib.sha256(b"x").hexdigest()).count() == 0
+    assert [exact_dedup.filter_words(n) for n in (0, 4095, 4096, 10**6, 10**12)] == [1 << 10, 1 << 10, 1 << 11, 1 << 18, 1 << 19]
+
+
+def test_hot_keys_join_like_others(spark):
+    from tabloom.llm.common import join_counted
+
+    rows = spark.createDataFrame([(0 if i < 3000 else i % 700, i) for i in range(6000)], "k long, i long")
+    groups = rows.where("k <> 5").groupBy("k").count()
+    got = join_counted(rows, groups, "k", "count", 6000)
+    n = Counter(r["k"] for r in rows.collect())
+    assert n[0] > 1024
+    assert sorted((r["k"], r["i"], r["count"]) for r in got.collect() if r["k"] != 5) == sorted((r["k"], r["i"], n[r["k"]]) for r in rows.collect() if r["k"] != 5)
+    assert {r["count"] for r in got.where("k = 5").collect()} == {None} and got.count() == 6000
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in (text or "")))
     if not words:
@@ -118,6 +140,17 @@ def test_variants_and_forests():
     assert [find(i) for i in range(len(fps))] == brute_components(fps, 4)
 
 
+def brute_failures(text):
+    """The bits of the ledger by the published rules."""
+    text = text or ""
+    words, word_chars, symbols, dup, repeated = brute_measures(text)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0d]", x)) for x in text.split("\n"))
+    letters, upper = sum(c.isalpha() for c in text), sum(c.isupper() for c in text)
+    odd_length = words > 0 and not 2 <= word_chars / words <= 15
+    rules = [words < 50, repeated / max(words, 1) > 0.5, symbols / max(words, 1) > 0.3 if words else symbols > 0, 2 * dup > lines, odd_length, 2 * upper > letters, 2 * letters < word_chars]
+    return sum(1 << k for k, bad in enumerate(rules) if bad)
+
+
 def brute_measures(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0d]+", text)
@@ -141,12 +174,17 @@ def test_quality(spark):
     for i, t in enumerate(texts):
         want = brute_measures(t)
         assert tuple(rows[i][c] for c in names) == want, repr(t)[:80]
-        assert rows[i]["failed"] == quality.failures(quality.measure(t))
+        assert rows[i]["failed"] == brute_failures(t)
         assert bool(rows[i]["failed"] & 3) == (want[0] < 50 or 100 * want[4] > 50 * want[0])
     report = {r["doc_id"]: r for r in quality.quality_report(docs).collect()}
     kept = {i for i, r in report.items() if r["kept"]}
     assert all(not report[i]["base_failed"] for i in kept) and kept
     assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == kept
+    clash = docs.withColumns({"failed": docs.doc_id, "n_words": docs.doc_id, "row": docs.text})
+    good = quality.keep_good(clash)
+    assert good.columns == clash.columns and {r["doc_id"]: (r["failed"], r["n_words"], r["row"]) for r in good.collect()} == {i: (i, i, texts[i]) for i in kept}
+    key = lambda r: r["bit"]
+    assert sorted(quality.ablation(quality.stored_ledger(docs)).collect(), key=key) == sorted(quality.ablation(book).collect(), key=key)
     for r in quality.ablation(book).collect():
         bit = 1 << r["bit"]
         assert r["failed_rows"] == sum(bool(x["failed"] & bit) for x in rows.values())
