@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces of one generation; a worker remembers two, and forgets the older when the younger is full.
-CACHE_PIECES = 350_000
+CACHE_PIECES = 250_000
 #: A letter run and what follows of these are separate tokens in every vocabulary used here.
 TAIL = ".,!%#*$&|;:?"
 #: White space next to white space, or other than space and line end: such texts are not cut.
@@ -241,7 +241,7 @@ def trim() -> None:
         pass
 
 
-def groups(texts: pa.Array, chars: int = 6_000_000) -> Iterator[tuple[int, int]]:
+def groups(texts: pa.Array, chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about that many bytes of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
