@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
 
@@ -57,15 +58,43 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Name of the key that ``keyed`` gives to rows.
+#: Name of a row's key.
 ROW = "__row"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows, written with a key of their own that every later reading of them sees: identifiers may be null or repeat."""
+    """The rows, written with a key of their own (a long, the part above) that every later reading of them sees."""
     return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 
+def row_key(docs: DataFrame) -> Column | None:
+    """A key of each row that every reading gives again, if ``docs`` is a plain Parquet table: digest of the file's path, place in the file."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return None
+    if plan.relation().fileFormat().getClass().getSimpleName() != "ParquetFileFormat":
+        return None
+    place = docs.metadataColumn("_metadata")
+    return F.concat(F.unhex(F.md5(place["file_path"].cast("binary"))), F.unhex(F.lpad(F.hex(place["row_index"]), 10, "0")))
+
+
+def without(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` without the rows whose keys ``decide`` gives as ``__gone``.
+
+    ``decide`` gets doc_id, text and the key, so identifiers may be null or
+    repeat and other columns may have any name.  A Parquet table is not copied:
+    its rows are known by their places; anything else is written first.  Only
+    the keys of rows that go are joined: Spark sends them to every task if they
+    are few and shuffles otherwise.
+    """
+    if row_key(docs) is None:
+        docs = written(docs, "input")
+    key = row_key(docs).alias(ROW)
+    gone = decide(docs.select("doc_id", "text", key))
+    whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("all"), key)
+    return whole.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").select("all.*")
+
+
 def dropped(found: DataFrame, group: list[str], kept: Column) -> DataFrame:
     """Keys of the rows that go, as ``__gone``; of several rows of a group that ``kept`` holds for, the smallest key stays."""
     stay = found.where(kept)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, WS_CLASS, dropped, join_counted, keyed, scratch_path, whole_text, written
+from .common import ROW, WS_CLASS, dropped, join_counted, scratch_path, whole_text, without, written
 
 #: 64-bit words of the hit filter, at least and at most (4 MB).
 FILTER_WORDS = 1 << 10, 1 << 19
@@ -117,7 +117,7 @@ def _row(df: DataFrame) -> list[str]:
 
 
 def exact_dedup(docs: DataFrame, fan_in: int = 256, digest_bytes: int = 32) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (and the key of ``keyed`` rows)."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (and the key of rows that have one)."""
     index = DigestIndex(docs.sparkSession, fan_in, digest_bytes)
     runs = index.append(docs)
     hits = written(index.compact().where("n > 1"), "hits")
@@ -161,12 +161,5 @@ def _decisions(rows: DataFrame) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each text, with their own columns.
-
-    Only the keys of dropped rows (a small share) are joined; Spark sends them
-    to every task if they are small and shuffles otherwise.  Identifiers may be
-    null or repeat: of equal ones the first row stays.
-    """
-    rows = keyed(docs)
-    gone = dropped(written(exact_dedup(rows), "decisions"), ["text_sha256", "keep_id"], F.col("kept"))
-    return rows.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").select(*docs.columns)
+    """The documents that stay, one of each text, with their own columns; of equal identifiers (or nulls) the first row stays."""
+    return without(docs, lambda rows: dropped(written(exact_dedup(rows), "decisions"), ["text_sha256", "keep_id"], F.col("kept")))

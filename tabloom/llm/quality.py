@@ -13,15 +13,12 @@ give equal rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ship_package, written
+from .common import ROW, ship_package, without, written
 
 WS = " \t\n\x0b\x0c\r"
 #: The characters counted as symbols.
@@ -93,7 +90,8 @@ def _measure(batches):
     for batch in batches:
         got = [measure(t.as_py()) for t in batch["text"]]
         cols = list(zip(*got)) or [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *names])
+        own = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), *(pa.array(c, pa.int64()) for c in cols)], names=[*own, *names])
 
 
 def with_failures(measured: DataFrame) -> DataFrame:
@@ -104,10 +102,11 @@ def with_failures(measured: DataFrame) -> DataFrame:
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements, and ``failed``: one bit a rule."""
+    """doc_id, the key of rows that have one, the measurements, and ``failed``: one bit a rule."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_failures(rows.mapInArrow(partial(_measure), "doc_id long, " + MEASURES))
+    key = [ROW] if ROW in docs.columns else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, "text")
+    return with_failures(rows.mapInArrow(_measure, "doc_id long, " + "".join(c + " binary, " for c in key) + MEASURES))
 
 
 def apply_policy(book: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
@@ -138,26 +137,11 @@ def quality_report(docs: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
     return apply_policy(ledger(docs), version).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
-def _beside(batches):
-    """The measurements, and the whole row beside them."""
-    names = [x.split()[0] for x in MEASURES.split(", ")]
-    for batch in batches:
-        got = [measure(t.as_py()) for t in batch["text"]]
-        cols = list(zip(*got)) or [[]] * len(names)
-        row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), row], names=[*names, "row"])
-
-
 def stored_ledger(docs: DataFrame) -> DataFrame:
-    """The ledger of all rows, kept in the shared folder: measurements, ``failed``, and the document as ``row``.
-
-    Policies and ablations read the columns they need; texts are measured once.
-    """
-    ship_package(docs.sparkSession)
-    schema = StructType([*(StructField(x.split()[0], LongType()) for x in MEASURES.split(", ")), StructField("row", docs.schema, False)])
-    return written(with_failures(docs.mapInArrow(_beside, schema)), "ledger")
+    """The ledger of all rows, kept in the shared folder; policies and ablations read it without the texts."""
+    return written(ledger(docs), "ledger")
 
 
 def keep_good(docs: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
-    """The documents that a policy keeps by the stored ledger, with their own columns; no join."""
-    return apply_policy(stored_ledger(docs), version).where("kept").select("row.*")
+    """The documents that a policy keeps by the stored ledger, with their own columns."""
+    return without(docs, lambda rows: apply_policy(stored_ledger(rows), version).where("not kept").select(F.col(ROW).alias("__gone")))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, dropped, join_counted, keyed, ship_package, written
+from .common import ROW, dropped, join_counted, ship_package, without, written
 
 #: Fingerprints of one variant that a task compares; larger variants are dealt into pairs of blocks.
 MAX_BUCKET = 1 << 16
@@ -201,14 +201,14 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
 
 
 def _grouped(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """doc_id, fp, root (the smallest fingerprint of the group), component_id (its smallest doc_id), and the key of ``keyed`` rows.
+    """doc_id, fp, root (the smallest fingerprint of the group), component_id (its smallest doc_id), and the key of rows that have one.
 
     Groups are found by fingerprint: identifiers may be null or repeat.
     """
     ship_package(docs.sparkSession)
     key = [ROW] if ROW in docs.columns else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, "text")
-    prints = written(rows.mapInArrow(partial(_fingerprints, shingle=shingle, seed=seed), "doc_id long, " + "".join(c + " long, " for c in key) + "fp long"), "prints")
+    prints = written(rows.mapInArrow(partial(_fingerprints, shingle=shingle, seed=seed), "doc_id long, " + "".join(c + " binary, " for c in key) + "fp long"), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows")), "nodes")
     comp = components(nodes.select("fp", F.col("fp").alias("id")), written(similarity_links(nodes, distance, max_bucket), "links")).withColumnRenamed("component_id", "root")
     comp = written(nodes.join(comp, "fp", "left").select("fp", "id", "rows", F.coalesce("root", "fp").alias("root")), "groups")
@@ -219,6 +219,4 @@ def _grouped(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 4
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents with the smallest doc_id of each group (of equal ones the first row), with their own columns."""
-    rows = keyed(docs)
-    gone = dropped(written(_grouped(rows, **options), "grouped"), ["root"], F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return rows.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").select(*docs.columns)
+    return without(docs, lambda rows: dropped(written(_grouped(rows, **options), "grouped"), ["root"], F.col("doc_id").eqNullSafe(F.col("component_id"))))

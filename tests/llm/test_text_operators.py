@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from tabloom.llm import exact_dedup, mixing, quality, simhash
+from pyspark.sql import functions as F
+
+from tabloom.llm import common, exact_dedup, mixing, quality, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -275,3 +277,22 @@ def test_pivot_keeps_mass_and_probabilities():
         ones += p
         total.append(p.sum())
     assert np.abs(ones / 400 - 0.3).max() < 0.12
+
+
+def test_rows_of_a_parquet_table_are_known_by_their_places(spark, tmp_path):
+    rows = [(i % 7 or None, f"text {i % 40}", f"a{i}", f"b{i}", f"c{i}", i) for i in range(200)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, __gone string, __row string, `all` string, _metadata int")
+    made.repartition(5).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    keys = docs.select(common.row_key(docs).alias("k"), F.col("_metadata").alias("i"))
+    first = {bytes(r["k"]): r["i"] for r in keys.collect()}
+    assert len(first) == 200 and {bytes(r["k"]): r["i"] for r in keys.repartition(3).collect()} == first
+    assert common.row_key(made) is None and common.row_key(docs.select("text")) is None
+    for table in (docs, made):
+        kept = exact_dedup.dedup_documents(table)
+        got = kept.collect()
+        assert kept.columns == docs.columns and len({r["text"] for r in got}) == len(got) == 40
+        assert all(rows[r["_metadata"]] == tuple(r) for r in got)
+        for r in got:
+            least = min((x[0] for x in rows if x[1] == r["text"] and x[0]), default=None)
+            assert r["doc_id"] == least
