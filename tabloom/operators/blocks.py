@@ -6,12 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def vertical_runs(cells: DataFrame) -> DataFrame:
-    """Maximal runs down a column of equal r1c1.  cells: sheet_id, row, col, r1c1."""
-    w = Window.partitionBy("sheet_id", "col").orderBy("row")
-    new = F.when((F.col("row") == F.lag("row").over(w) + 1) & F.col("r1c1").eqNullSafe(F.lag("r1c1").over(w)), 0).otherwise(1)
-    got = cells.select("sheet_id", "row", "col", "r1c1").withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return got.groupBy("sheet_id", "col", "__run").agg(F.first("r1c1").alias("r1c1"), F.min("row").alias("row_min"), F.max("row").alias("row_max")).drop("__run")
+#: Rows of a column that one task looks at together.
+BAND = 65_536
+
+
+def vertical_runs(cells: DataFrame, band: int = BAND) -> DataFrame:
+    """Maximal runs down a column of equal r1c1.  cells: sheet_id, row, col, r1c1.
+
+    Runs are found within bands of rows, so no task holds a long column; of
+    these the first and last of each band, two at most, meet their neighbours.
+    """
+    got = cells.select("sheet_id", "col", "r1c1", F.col("row").alias("row_min"), F.col("row").alias("row_max"), F.floor(F.col("row") / band).alias("__band"))
+    got = _joined(got)
+    edge = (F.pmod("row_min", F.lit(band)) == 0) | (F.pmod("row_max", F.lit(band)) == band - 1)
+    return _joined(got.withColumn("__band", F.when(edge, -1).otherwise(F.col("__band")))).drop("__band")
+
+
+def _joined(runs: DataFrame) -> DataFrame:
+    """Runs that follow each other in a column's band with equal r1c1 become one."""
+    key = ["sheet_id", "col", "__band"]
+    w = Window.partitionBy(*key).orderBy("row_min")
+    new = F.when((F.col("row_min") == F.lag("row_max").over(w) + 1) & F.col("r1c1").eqNullSafe(F.lag("r1c1").over(w)), 0).otherwise(1)
+    got = runs.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return got.groupBy(*key, "__run").agg(F.first("r1c1").alias("r1c1"), F.min("row_min").alias("row_min"), F.max("row_max").alias("row_max")).drop("__run")
 
 
 def merge_across(runs: DataFrame) -> DataFrame:

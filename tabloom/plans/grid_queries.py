@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import formula
+from ..functions.a1 import MAX_ROWS
 from ..operators import blocks, edges, grid, overlap, profile, regions
 from ..session import ship
 from .registry import query
@@ -141,12 +142,13 @@ FORMULAS = """f AS (SELECT CAST(i + 1 AS INTEGER) AS r, CASE WHEN (i + 1) % 997
 
 
 def _formulas(t):
-    """A computed column K beside lineitem's F and G; one row in 997 is tampered with."""
+    """A computed column K beside lineitem's F and G, in a grid as high as it needs; one row in 997 is tampered with."""
     ship(t.spark)
-    rows = t.spark.range(2, t.lineitem.count() + 2).select(F.lit(1).alias("sheet_id"), F.col("id").cast("int").alias("row"), F.lit(11).alias("col"))
+    last = t.lineitem.count() + 1
+    rows = t.spark.range(2, last + 1).select(F.lit(1).alias("sheet_id"), F.col("id").cast("int").alias("row"), F.lit(11).alias("col"))
     r = F.col("row").cast("string")
     text = F.concat(F.lit("=F"), r, F.when(F.pmod("row", F.lit(997)) == 0, "+").otherwise("*"), F.lit("(1-G"), r, F.lit(")"))
-    return rows.withColumn("formula", text).withColumn("r1c1", formula.r1c1("formula", "row", "col"))
+    return rows.withColumn("formula", text).withColumn("r1c1", formula.relative(max(last, MAX_ROWS))("formula", "row", "col"))
 
 
 BLOCKS_SQL = f"""WITH {FORMULAS}, g AS (SELECT *, sum(CASE WHEN p = r1c1 THEN 0 ELSE 1 END) OVER (ORDER BY r) AS k FROM (SELECT *, lag(r1c1) OVER (ORDER BY r) AS p FROM f)),

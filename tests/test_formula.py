@@ -16,6 +16,18 @@ def test_relative_form_is_invariant_under_copying(x, row, col, dr, dc):
     assert f.to_r1c1(moved, row + dr, col + dc) == f.to_r1c1(x, row, col)
 
 
+@settings(max_examples=150, deadline=None)
+@given(text, st.sampled_from(["", "+3:$7", "+$B:C", "+F1048577", "+LOG10(A0)", "+#DIV/0!", "+A1#", "+Tab2[Qty1]"]), st.integers(1, 50), st.integers(1, 50))
+def test_patterns_give_the_relative_form(x, more, row, col):
+    for rows in (f.MAX_ROWS, 2 * f.MAX_ROWS):
+        assert f._to_r1c1(x + more, row, col, rows) == f.to_r1c1(x + more, row, col, rows)
+
+
+def test_grid_higher_than_a_sheet():
+    assert f.to_r1c1("=F1048577*2", 1048577, 7) == "=F1048577*2"
+    assert f.to_r1c1("=F1048577*2", 1048577, 7, 1048577) == "=RC[-1]*2"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, f.MAX_COLS))
 def test_column_names(n):

@@ -102,6 +102,15 @@ def test_blocks_cover_every_cell_once(spark):
     assert seen == cells
 
 
+def test_runs_do_not_depend_on_bands(spark):
+    rng = random.Random(6)
+    cells = [(s, r, c, rng.choice(["=a", "=a", "=a", "=b"])) for s in (1, 2) for c in (1, 2, 4) for r in range(1, 60) if rng.random() < 0.95] + [(3, r, 1, "=a") for r in range(1, 60)]
+    df = spark.createDataFrame(cells, "sheet_id int, row int, col int, r1c1 string")
+    want = rows(blocks.vertical_runs(df))
+    assert [rows(blocks.vertical_runs(df, band)) for band in (1, 4, 7)] == [want] * 3
+    assert {x[0:1] + x[-2:] for x in want if x[0] == 3} == {(3, 1, 59)}
+
+
 def test_extrusion_is_the_union_over_cells(spark):
     rng = random.Random(2)
     data = []
