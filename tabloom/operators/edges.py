@@ -18,15 +18,15 @@ def _axis(refs: str, lo: str, hi: str, most: int) -> tuple[Column, Column]:
     return F.greatest(low, F.lit(1)), F.least(high, F.lit(most))
 
 
-def extrude(refs: DataFrame) -> DataFrame:
+def extrude(refs: DataFrame, rows: int = MAX_ROWS) -> DataFrame:
     """Destination rectangles of references over their block.
 
     refs has the block's rectangle (row_min ..) and, for each axis, two terms:
     row1, row1_rel, row2, row2_rel, col1, ... (offset if relative, else the
     value).  The union over all cells of the block is the box of the ends,
-    clamped to the sheet; an empty box is an unresolved reference (nulls).
+    clamped to a sheet ``rows`` high; an empty box is an unresolved reference (nulls).
     """
-    r1, r2 = _axis("row", "row_min", "row_max", MAX_ROWS)
+    r1, r2 = _axis("row", "row_min", "row_max", rows)
     c1, c2 = _axis("col", "col_min", "col_max", MAX_COLS)
     ok = (r1 <= r2) & (c1 <= c2)
     return refs.withColumns({"dst_row_min": F.when(ok, r1.cast("int")), "dst_row_max": F.when(ok, r2.cast("int")), "dst_col_min": F.when(ok, c1.cast("int")), "dst_col_max": F.when(ok, c2.cast("int"))})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import formula
@@ -141,10 +143,14 @@ def unique_block_links(t):
 FORMULAS = """f AS (SELECT CAST(i + 1 AS INTEGER) AS r, CASE WHEN (i + 1) % 997 = 0 THEN '=RC[-5]+(1-RC[-4])' ELSE '=RC[-5]*(1-RC[-4])' END AS r1c1 FROM range(1, (SELECT count(*) FROM lineitem) + 1) t(i))"""
 
 
-def _formulas(t):
+def _last(t) -> int:
+    """The row of lineitem's last formula."""
+    return t.lineitem.count() + 1
+
+
+def _formulas(t, last: int):
     """A computed column K beside lineitem's F and G, in a grid as high as it needs; one row in 997 is tampered with."""
     ship(t.spark)
-    last = t.lineitem.count() + 1
     rows = t.spark.range(2, last + 1).select(F.lit(1).alias("sheet_id"), F.col("id").cast("int").alias("row"), F.lit(11).alias("col"))
     r = F.col("row").cast("string")
     text = F.concat(F.lit("=F"), r, F.when(F.pmod("row", F.lit(997)) == 0, "+").otherwise("*"), F.lit("(1-G"), r, F.lit(")"))
@@ -158,7 +164,7 @@ BLOCKS_SQL = f"""WITH {FORMULAS}, g AS (SELECT *, sum(CASE WHEN p = r1c1 THEN 0
 @query(f"""{BLOCKS_SQL} SELECT 1 AS sheet_id, CAST(row_number() OVER (ORDER BY row_min) - 1 AS INTEGER) AS n, r1c1, row_min, row_max, 11 AS col_min, 11 AS col_max FROM b""")
 def r1c1_blocks(t):
     """FML3, FML6, FML7, WIN11, WIN12, ORD9."""
-    return blocks.formula_blocks(_formulas(t))
+    return blocks.formula_blocks(_formulas(t, _last(t)))
 
 
 @query(f"""WITH {FORMULAS}, g AS (SELECT *, (r - 2) // 500 AS region FROM f), n AS (SELECT region, count(*) AS n, count(*) FILTER (WHERE r1c1 = '=RC[-5]*(1-RC[-4])') AS d FROM g GROUP BY 1)
@@ -166,7 +172,7 @@ def r1c1_blocks(t):
     FROM g JOIN n ON g.region = n.region WHERE g.r1c1 <> '=RC[-5]*(1-RC[-4])' AND n.n >= 5 AND 5 * n.d >= 4 * n.n AND n.n - n.d <= greatest(3, (n.n + 19) // 20)""")
 def block_inconsistency(t):
     """FML8, AGG13, WIN13, WIN14, DIA4."""
-    f = _formulas(t).withColumn("region", F.floor((F.col("row") - 2) / 500))
+    f = _formulas(t, _last(t)).withColumn("region", F.floor((F.col("row") - 2) / 500))
     return blocks.inconsistencies(f, "vertical")
 
 
@@ -174,12 +180,13 @@ def block_inconsistency(t):
     SELECT 1 AS src_sheet_id, n AS src_n, 'ref' AS via, row_min AS dst_row_min, row_max AS dst_row_max, c AS dst_col_min, c AS dst_col_max FROM n, (VALUES (6), (7)) v(c)""")
 def extruded_edges(t):
     """FML9, FML14, FML18, FML20, FML21: references of one anchor a block, extruded over the block."""
-    b = blocks.formula_blocks(_formulas(t))
+    last = _last(t)
+    height, b = max(last, MAX_ROWS), blocks.formula_blocks(_formulas(t, last))
     anchor = b.withColumns({"row": F.col("row_min"), "col": F.col("col_min")})
     r = F.col("row").cast("string")
     text = F.concat(F.lit("=F"), r, F.when(F.col("r1c1").contains("+("), "+").otherwise("*"), F.lit("(1-G"), r, F.lit(")"))
-    refs = anchor.select("sheet_id", "n", "row", "col", text.alias("formula")).mapInPandas(formula.reference_rows, "sheet_id int, n int, " + formula.REFERENCE_SCHEMA + ", ordinal int")
-    got = edges.extrude(refs.join(b, ["sheet_id", "n"]))
+    refs = anchor.select("sheet_id", "n", "row", "col", text.alias("formula")).mapInPandas(partial(formula.reference_rows, height=height), "sheet_id int, n int, " + formula.REFERENCE_SCHEMA + ", ordinal int")
+    got = edges.extrude(refs.join(b, ["sheet_id", "n"]), height)
     return got.select(F.col("sheet_id").alias("src_sheet_id"), F.col("n").alias("src_n"), "via", *("dst_" + c for c in ("row_min", "row_max", "col_min", "col_max")))
 
 

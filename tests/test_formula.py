@@ -26,6 +26,8 @@ def test_patterns_give_the_relative_form(x, more, row, col):
 def test_grid_higher_than_a_sheet():
     assert f.to_r1c1("=F1048577*2", 1048577, 7) == "=F1048577*2"
     assert f.to_r1c1("=F1048577*2", 1048577, 7, 1048577) == "=RC[-1]*2"
+    assert f.analyze("=F1048577", 1048577, 7, 1048577).references[0].rect == ((0, True), (0, True), (-1, True), (-1, True))
+    assert f.analyze("=F:F", 5, 7, 2_000_000).references[0].rect[:2] == ((1, False), (2_000_000, False))
 
 
 @settings(max_examples=100, deadline=None)
