@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.a1 import RECT
+from ..functions.a1 import MAX_COLS, MAX_ROWS, RECT
 from .components import materialised, reachable
 from .overlap import overlap_join, prefixed
 
@@ -78,21 +78,23 @@ def self_reading(blocks: DataFrame, edges: DataFrame) -> DataFrame:
 
     edges carry the reference's terms (see ``edges.extrude``): the cell (r, c)
     lies in its own range if r and c do, which for each axis is an interval of
-    the block's rows or columns.
+    the block's rows or columns.  A whole column also holds the rows of a table
+    taller than a sheet.
     """
     e = edges.join(blocks.select(F.col("sheet_id").alias("src_sheet_id"), F.col("n").alias("src_n"), *RECT), ["src_sheet_id", "src_n"]).where("dst_sheet_id = src_sheet_id")
 
-    def meets(a: str, lo: str, hi: str):
+    def meets(a: str, lo: str, hi: str, most: int):
         r1, v1, r2, v2 = F.col(a + "1_rel"), F.col(a + "1"), F.col(a + "2_rel"), F.col(a + "2")
         # Between the two ends, in either order, at the cell's own place x: x + offset or a fixed value.
         low, high = F.col(lo), F.col(hi)
         both = r1 & r2 & (F.least(v1, v2) <= 0) & (F.greatest(v1, v2) >= 0)
         none = ~r1 & ~r2 & (F.greatest(F.least(v1, v2), low) <= F.least(F.greatest(v1, v2), high))
+        whole = ~r1 & ~r2 & (F.least(v1, v2) <= 1) & (F.greatest(v1, v2) >= most)
         off, fix = F.when(r1, v1).otherwise(v2), F.when(r1, v2).otherwise(v1)
         mixed = (r1 != r2) & (((off >= 0) & (fix <= high)) | ((off <= 0) & (fix >= low)))
-        return both | none | mixed
+        return both | none | whole | mixed
 
-    return e.where(meets("row", "row_min", "row_max") & meets("col", "col_min", "col_max")).select("src_sheet_id", "src_n").distinct()
+    return e.where(meets("row", "row_min", "row_max", MAX_ROWS) & meets("col", "col_min", "col_max", MAX_COLS)).select("src_sheet_id", "src_n").distinct()
 
 
 def one_way(blocks: DataFrame, edges: DataFrame) -> DataFrame:

@@ -127,6 +127,14 @@ def test_extrusion_is_the_union_over_cells(spark):
         assert (x["dst_row_min"], x["dst_row_max"], x["dst_col_min"], x["dst_col_max"]) == (max(1, min(rs)), max(rs), max(1, min(cs)), max(cs))
 
 
+def test_only_whole_columns_go_below_the_sheet(spark):
+    names = "row1 int, row1_rel boolean, row2 int, row2_rel boolean, col1 int, col1_rel boolean, col2 int, col2_rel boolean"
+    ends = [(1, 1048576), (1048576, 1), (2, 1048576), (1048576, 1048576), (1048576, 1048590), (1, 1048575)]
+    e = spark.createDataFrame([(1, n, 1, a, False, b, False, 0, True, 0, True) for n, (a, b) in enumerate(ends)], "src_sheet_id int, src_n int, dst_sheet_id int, " + names)
+    b = spark.createDataFrame([(1, n, 1048580, 1048600, 4, 4) for n in range(len(ends))], "sheet_id int, n int, row_min int, row_max int, col_min int, col_max int")
+    assert rows(graph.self_reading(b, e), "src_n") == [(0,), (1,), (4,)]
+
+
 def test_strong_components_equal_brute_force(spark):
     rng = random.Random(4)
     links = {(rng.randint(1, 30), rng.randint(1, 30)) for _ in range(45)} | {(5, 5)}

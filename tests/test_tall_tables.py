@@ -15,7 +15,7 @@ def tall(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["r1c1_blocks", "extruded_edges", "block_inconsistency"])
+@pytest.mark.parametrize("name", ["r1c1_blocks", "extruded_edges", "block_inconsistency", "self_inclusion"])
 def test_tall_table_equals_sql(spark, tall, name):
     con = duckdb.connect()
     for table in ("lineitem", "part"):
