@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship_package, written
-from .tokens import encoder, groups, trim
+from .tokens import encoder, forget, groups, trim
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
@@ -55,17 +55,27 @@ def _encode(batches, path: str, end_id: int):
         trim()
 
 
+def _pairs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, int]:
+    """The pairs of two columns of 32 bits at most as one column, sorted in place (an order beside it takes four times the memory), and the bits of the second."""
+    bits = 16 if max(int(high.max(initial=0)), int(low.max(initial=0))) < 1 << 16 else 32
+    both = high.astype(np.uint32 if bits == 16 else np.uint64)
+    both <<= both.dtype.type(bits)
+    both |= low.astype(both.dtype, copy=False)
+    both.sort()
+    return both, bits
+
+
 def postings(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Term, document and count of every pair that occurs, by term and then document; ids of 16 bits sort in linear time."""
-    order = np.argsort(flat, kind="stable")
-    term, doc = flat[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
-    new = np.ones(len(flat), bool)
-    new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    return term[at].astype(np.int64), doc[at].astype(np.int64), np.diff(at, append=len(flat))
+    """Term, document and count of every pair that occurs, by term and then document."""
+    both, bits = _pairs(flat, np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes))
+    at = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+    tf = np.diff(at, append=len(both)).astype(np.uint32)
+    both = both[at]
+    return (both >> both.dtype.type(bits)).astype(np.uint32, copy=False), (both & both.dtype.type((1 << bits) - 1)).astype(np.uint32, copy=False), tf
 
 
 def _frequencies(batches, dtype: str, vocab: int):
+    forget()
     df = np.zeros(vocab, np.int64)
     for batch in batches:
         for a, b in groups(batch["ids"]):
@@ -84,20 +94,30 @@ class Shard:
         term, doc, tf = postings(np.concatenate(docs), lens)
         use = idf[term] > 0  # ids of half the corpus or more say nothing about a neighbour
         term, doc, tf = term[use], doc[use], tf[use]
-        self.doc = doc
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / mean))
-        self.terms, first = np.unique(term, return_index=True)
-        self.at = np.append(first, len(term))
-        by_doc = np.argsort(doc, kind="stable")
-        self.doc_terms, self.doc_at = np.searchsorted(self.terms, term[by_doc]), np.searchsorted(doc[by_doc], np.arange(len(docs) + 1))
+        del use
         self.n = len(docs)
+        first = np.flatnonzero(np.append(True, term[1:] != term[:-1])[: len(term)])
+        self.at = np.append(first, len(term))
+        # The terms of each document, by their number in the shard.
+        number, bits = _pairs(doc, np.repeat(np.arange(len(first), dtype=np.uint32), np.diff(self.at)))
+        number &= number.dtype.type((1 << bits) - 1)
+        self.doc_terms, self.doc_at = number.astype(np.uint32, copy=False), np.append(0, np.cumsum(np.bincount(doc, minlength=self.n)))
+        # idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)), with one other array of this size at a time.
+        self.weight = idf[term] * tf.astype(np.float64)
+        del term
+        self.weight *= K1 + 1
+        below = (K1 * (1 - B + B * lens / mean))[doc]
+        below += tf
+        self.weight /= below
+        del below, tf
+        self.doc = doc.astype(np.intp)
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document for the seed's terms as query."""
         q = self.doc_terms[self.doc_at[seed] : self.doc_at[seed + 1]]
         start, n = self.at[q], self.at[q + 1] - self.at[q]
-        total = int(n.sum())
-        at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total) if total else np.zeros(0, np.int64)
+        at = np.repeat(start - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
@@ -170,6 +190,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
 def _pack(batches, dtype: str, window: int, shard_docs: int, shard_ids: int, idf_of, mean: float):
     from pyspark import TaskContext
 
+    forget()
     idf = idf_of.value
     base = TaskContext.get().partitionId() << 32
     held, size, sequence = [], 0, 0
@@ -179,8 +200,9 @@ def _pack(batches, dtype: str, window: int, shard_docs: int, shard_ids: int, idf
             size += len(held[-1][1])
             if len(held) >= shard_docs or size >= shard_ids:
                 out, sequence = _shard(held, idf, mean, window, base, sequence)
-                yield out
                 held, size = [], 0
+                yield out
+                trim()
     if held:
         yield _shard(held, idf, mean, window, base, sequence)[0]
 

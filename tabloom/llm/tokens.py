@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, repeat
+from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
@@ -225,9 +226,21 @@ class Encoder:
         return np.concatenate([*parts, np.empty(0, self.dtype)]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
+_made: WeakSet[Encoder] = WeakSet()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    enc = Encoder(path)
+    _made.add(enc)
+    return enc
+
+
+def forget() -> None:
+    """Drop what this worker remembers of pieces: it serves other tasks too, and they need the memory."""
+    for enc in _made:
+        enc.known.clear()
+    trim()
 
 
 def trim() -> None:

@@ -114,6 +114,35 @@ def test_packing(spark):
     assert bm25_packing.pack_documents(docs.where("false"), tokens.tokenizer_path(WORD)).count() == 0
 
 
+@pytest.mark.parametrize("dtype, top, docs", [("<u2", 1 << 16, 40), ("<u4", 1 << 18, 40), ("<u2", 50, 70_000)])
+def test_postings_equal_brute_force(dtype, top, docs):
+    rng = np.random.default_rng(3)
+    flat, sizes = rng.integers(top - 30, top, 100_000).astype(dtype), rng.multinomial(100_000, np.full(docs, 1 / docs))
+    term, doc, tf = bm25_packing.postings(flat, sizes)
+    want = sorted(Counter(zip(flat.tolist(), np.repeat(np.arange(docs), sizes).tolist())).items())
+    assert list(zip(zip(term.tolist(), doc.tolist()), tf.tolist())) == want
+    assert bm25_packing.postings(flat[:0], np.array([0]))[0].tolist() == []
+    np.bincount(term), np.bincount(doc)
+
+
+def test_packing_memory():
+    """The index of a shard takes few bytes an id, and what encoding remembered is gone before packing."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 40_000, 2_000).astype(np.uint16) for _ in range(500)]
+    tracemalloc.start()
+    bm25_packing.Shard(docs, np.ones(1 << 16, np.float32), 2_000.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * sum(map(len, docs))
+    enc = tokens.encoder(tokens.tokenizer_path(WORD))
+    enc.encode(pa.array(["some words to remember"]))
+    assert enc.known
+    list(bm25_packing._frequencies([pa.RecordBatch.from_pydict({"ids": pa.array([docs[0].tobytes()])})], "<u2", enc.vocab))
+    assert not enc.known
+
+
 def test_bm25_scores_equal_brute_force():
     rng = random.Random(2)
     docs = [np.array([rng.randrange(40) for _ in range(rng.randint(1, 60))], np.uint16) for _ in range(30)]
