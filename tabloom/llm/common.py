@@ -159,6 +159,13 @@ def ship_package(spark: SparkSession) -> None:
     spark._tabloom_shipped = True
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let Parquet's batches suit long texts: 4,096 of them are arrays of 14 to 28 MB a task, which make an executor's heap grow."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if spark.conf.get(key) == "4096":  # a choice of the user's stays
+        spark.conf.set(key, "256")
+
+
 def whole_text(col: str = "text") -> Column:
     """Text with null counted as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, WS_CLASS, dropped, join_counted, scratch_path, whole_text, without, written
+from .common import ROW, WS_CLASS, dropped, join_counted, scratch_path, short_batches, whole_text, without, written
 
 #: 64-bit words of the hit filter, at least and at most (4 MB).
 FILTER_WORDS = 1 << 10, 1 << 19
@@ -42,6 +42,7 @@ class DigestIndex:
     def __init__(self, spark, fan_in: int = 256, digest_bytes: int = 32, run_ndv: int = 1 << 16):
         self.spark, self.fan_in, self.run_ndv = spark, fan_in, run_ndv
         self.hex = 2 * digest_bytes
+        short_batches(spark)
         self.root = scratch_path(spark, "lsm")
         self.levels: list[str] = []
         self.batches = 0

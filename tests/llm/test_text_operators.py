@@ -56,6 +56,22 @@ def test_digest_lookup_and_filter_size(spark):
     assert [exact_dedup.filter_words(n) for n in (0, 4095, 4096, 10**6, 10**12)] == [1 << 10, 1 << 10, 1 << 11, 1 << 18, 1 << 19]
 
 
+def test_exact_dedup_reads_texts_in_short_batches(spark, tmp_path):
+    """A reader's arrays for 4,096 texts are what made executors' heaps grow; a size that the user set stays."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    corpus(spark, [f"t{i % 900}" for i in range(2_000)]).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    try:
+        for choice, batches in ((None, 8), ("1000", 2)):
+            spark.conf.unset(key) if choice is None else spark.conf.set(key, choice)
+            assert exact_dedup.exact_dedup(docs).where("kept").count() == 900
+            read = docs.select("text")
+            assert len(read.collect()) == 2_000
+            assert read._jdf.queryExecution().executedPlan().child().metrics().apply("numInputBatches").value() == batches
+    finally:
+        spark.conf.unset(key)
+
+
 def test_hot_keys_join_like_others(spark):
     from tabloom.llm.common import join_counted
 
